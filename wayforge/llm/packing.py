@@ -15,6 +15,8 @@ of `capacity` tokens, the last may be shorter.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -30,32 +32,51 @@ from wayforge.llm.words import texts_of
 CAPACITY, END_ID = 4096, 1
 _TOKENIZERS: dict = {}
 _KNOWN: dict = {}
-#: Words whose ids a worker remembers; a working set, not a limit on what is encoded.
-REMEMBER = 250_000
-
-
-def word_ids(vocabulary: str, raw: bytes) -> bytes:
-    """Ids of a text as little-endian unsigned 32-bit. The vocabulary drops white space and joins
-    nothing across it, so a text's ids are those of its words in order; each word is encoded once."""
-    known = _KNOWN.setdefault(vocabulary, {})
-    words = raw.split()
-    new = [w for w in dict.fromkeys(words) if w not in known]
-    if new:
-        if vocabulary not in _TOKENIZERS:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, _TOKENIZERS[vocabulary].encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-    return b"".join([known[w] for w in words])
+#: Words whose ids a worker remembers at a time; a working set, not a limit on what is encoded.
+REMEMBER = 500_000
+#: A full stop or comma after a-z is a token of its own, so it is cut off before words are looked up.
+TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+
+
+def batch_ids(vocabulary: str, raws: list[bytes]) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit. The vocabulary folds case, drops white space
+    and joins nothing across it, so a text's ids are those of its words in order; a word is encoded
+    when a worker meets it first, and words it has not met for long are forgotten."""
+    if vocabulary not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
+    known, old = _KNOWN.get(vocabulary, ({}, {}))
+    if len(known) > REMEMBER:
+        known, old = {}, known
+    _KNOWN[vocabulary] = known, old
+    texts = [TAIL.sub(rb" \1", raw.lower()).split() for raw in raws]
+    new = [w for w in set().union(*texts) if w not in known]
+    unmet = []
+    for w in new:
+        if (x := old.get(w)) is None:
+            unmet.append(w)
+        else:
+            known[w] = x
+    for i in range(0, len(unmet), 10_000):
+        part = unmet[i : i + 10_000]
+        for w, e in zip(part, _TOKENIZERS[vocabulary].encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+    return [b"".join([known[w] for w in words]) for words in texts]
+
+
+def in_portions(raws, most: int = 2 << 20):
+    """Texts in lists of about so many bytes."""
+    part, size = [], 0
+    for raw in raws:
+        part.append(raw)
+        size += len(raw)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -69,8 +90,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     def run(batches):
         for b in batches:
             rows, cut = [], [[], [], [], [], []]
-            for row, raw in enumerate(texts_of(b.column(1))):
-                ids = word_ids(vocabulary, raw) + end
+            texts = (ids for part in in_portions(texts_of(b.column(1))) for ids in batch_ids(vocabulary, part))
+            for row, ids in enumerate(texts):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     rows.append(row)
