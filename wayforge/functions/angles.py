@@ -43,7 +43,7 @@ def direction_cosine(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 def vertex_angle(ax: Column, ay: Column, px: Column, py: Column, bx: Column, by: Column) -> Column:
     """Angle at p between a and b, in [0, 180]; 0 if a side has no length."""
     c = direction_cosine(ax - px, ay - py, bx - px, by - py)
-    return F.coalesce(F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))), F.lit(0.0))
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))))).otherwise(0.0)
 
 
 def direction_label(one_a: Column, one_b: Column, cosine: Column) -> Column:
