@@ -1,7 +1,7 @@
 """Every registered query against its oracle SQL on the smallest tables."""
 
 import pytest
-from conftest import SF, same_rows
+from shared import SF, same_rows
 
 from wayforge.plans.oracle import SQL
 from wayforge.plans.queries import QUERIES
