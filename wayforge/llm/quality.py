@@ -1,9 +1,9 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are the labelled rows of quality 1 outside the held-out fold; unlabelled text is any
-other row outside it, labels unread. A model of positives against unlabelled text first gives an
-estimate of the class prior (the least ratio of the tails of its scores, over bins that hold
-enough positives). Then a small network minimises the non-negative unbiased risk with that
+other row outside it, labels unread. Models of positives against unlabelled text, each scoring texts
+it was not fitted on, first give an estimate of the class prior: the ratio of the tails of these scores
+where its upper bound is least. Then a small network minimises the non-negative unbiased risk with that
 prior: when the risk of negatives, unlabelled minus prior times positives, falls below zero,
 the step goes against it. Inputs are measures of the whole text only: shares of kinds of characters, word and
 line shapes, and how much repeats.
@@ -110,55 +110,73 @@ def _backward(p, x, h, g):
     return [x.T @ gh, gh.sum(0), h.T @ g, x.T @ g, np.array([g.sum()])]
 
 
-def prior_of(score_pos: np.ndarray, score_un: np.ndarray) -> float:
-    """Share of positives in the unlabelled scores: least ratio of tails over the bins."""
-    best = 1.0
-    for c in np.quantile(score_pos, np.linspace(0.05, 0.9, 35)):
-        tp, tu = (score_pos >= c).mean(), (score_un >= c).mean()
-        slack = np.sqrt(np.log(40) / (2 * len(score_pos))) + np.sqrt(np.log(40) / (2 * len(score_un)))
-        if tp > 0.05:
-            best = min(best, (tu + slack * 0.5) / tp)
-    return float(min(0.99, max(0.05, best)))
+def _against(pos: np.ndarray, un: np.ndarray, decay: float):
+    """Gradient of the logistic loss of positives against unlabelled texts."""
 
+    def grad(p):
+        hp, fp = _net(p, pos)
+        hu, fu = _net(p, un)
+        gp, gu = -_sigmoid(-fp) / len(pos), _sigmoid(fu) / len(un)
+        return [a + b + decay * w for a, b, w in zip(_backward(p, pos, hp, gp), _backward(p, un, hu, gu), p, strict=True)]
 
-def fit(pos: np.ndarray, un: np.ndarray, seed: int = 5, hidden: int = 12, steps: int = 600) -> dict:
+    return grad
+
+
+def prior_of(score_pos: np.ndarray, score_un: np.ndarray) -> float:
+    """Share of positives in the unlabelled scores: the ratio of the tails at the bin where its upper bound is least."""
+    slack = np.sqrt(np.log(40) / (2 * len(score_pos))) + np.sqrt(np.log(40) / (2 * len(score_un)))
+    tails = [((score_pos >= c).mean(), (score_un >= c).mean()) for c in np.quantile(score_pos, np.linspace(0, 0.9, 37))]
+    return min(((u + slack) / p, u / p) for p, u in tails)[1]
+
+
+def estimate_prior(pos: np.ndarray, un: np.ndarray, rng, hidden: int, decay: float, repeats: int = 3, most: int = 4000) -> float:
+    """Median over repeats; each scores every text by a model fitted without it, in three folds."""
+    found = []
+    for _ in range(repeats):
+        a, b = pos[rng.permutation(len(pos))[:most]], un[rng.permutation(len(un))[:most]]
+        sa, sb = np.zeros(len(a)), np.zeros(len(b))
+        for fold in range(3):
+            ta, tb = np.arange(len(a)) % 3 == fold, np.arange(len(b)) % 3 == fold
+            if ta.all() or tb.all():
+                continue
+            net = _adam(_against(a[~ta], b[~tb], decay), _start(a.shape[1], hidden, rng), 200, 0.02)
+            sa[ta], sb[tb] = _net(net, a[ta])[1], _net(net, b[tb])[1]
+        found.append(prior_of(sa, sb))
+    return float(min(0.98, max(0.05, np.median(found))))
+
+
+def fit(pos: np.ndarray, un: np.ndarray, seed: int = 5, hidden: int = 8, steps: int = 700, decay: float = 0.02) -> dict:
     """Positive-unlabelled model: normalisation, network and the estimated prior."""
     rng = np.random.Generator(np.random.PCG64(seed))
     both = np.concatenate([pos, un])
     mean, scale = both.mean(0), both.std(0) + 1e-6
-    pos, un = ((x - mean) / scale for x in (pos, un))
-    d = pos.shape[1]
-
-    def against(p):
-        hp, fp = _net(p, pos)
-        hu, fu = _net(p, un)
-        gp, gu = -_sigmoid(-fp) / len(pos), _sigmoid(fu) / len(un)
-        return [a + b + 1e-3 * w for a, b, w in zip(_backward(p, pos, hp, gp), _backward(p, un, hu, gu), p, strict=True)]
-
-    p = _adam(against, _start(d, hidden, rng), steps // 2, 0.02)
-    prior = prior_of(_net(p, pos)[1], _net(p, un)[1])
+    pos, un = (_scaled(x, mean, scale) for x in (pos, un))
+    prior = estimate_prior(pos, un, rng, hidden, decay)
 
     def risk(p):
         # sigmoid loss l(z) = sigmoid(-z): unbiased risk with a non-negative part for negatives
         hp, fp = _net(p, pos)
         hu, fu = _net(p, un)
         sp, su = _sigmoid(fp), _sigmoid(fu)
-        negative = su.mean() - prior * sp.mean()
         dp, du = sp * (1 - sp) / len(pos), su * (1 - su) / len(un)
-        if negative >= 0:
-            gp, gu = -prior * dp - prior * dp, du
+        if su.mean() - prior * sp.mean() >= 0:
+            gp, gu = -2 * prior * dp, du
         else:
             gp, gu = prior * dp, -du
-        return [a + b + 1e-4 * w for a, b, w in zip(_backward(p, pos, hp, gp), _backward(p, un, hu, gu), p, strict=True)]
+        return [a + b + 0.1 * decay * w for a, b, w in zip(_backward(p, pos, hp, gp), _backward(p, un, hu, gu), p, strict=True)]
+
+    p = _adam(_against(pos, un, decay), _start(pos.shape[1], hidden, rng), 200, 0.02)
+    return {"mean": mean, "scale": scale, "net": _adam(risk, p, steps, 0.01), "prior": prior}
+
 
-    p = _adam(risk, [x.copy() for x in p], steps, 0.01)
-    return {"mean": mean, "scale": scale, "net": p, "prior": prior}
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
 
 
 def predict(model: dict | None, x: np.ndarray) -> np.ndarray:
     if model is None:
         return np.full(len(x), 0.5)
-    return _sigmoid(_net(model["net"], (x - model["mean"]) / model["scale"])[1])
+    return _sigmoid(_net(model["net"], _scaled(x, model["mean"], model["scale"]))[1])
 
 
 def _measured(rows: DataFrame) -> DataFrame:
