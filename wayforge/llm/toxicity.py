@@ -27,7 +27,7 @@ from wayforge.llm.quality import _adam, _sigmoid
 from wayforge.llm.sampling import held_out, pick, with_texts
 from wayforge.llm.words import LOWER, hash_spans, texts_of
 
-SAMPLE, SLOTS, FACTORS, LEAST, MOST_TERMS = 6_000, 1 << 22, 4, 6, 4096
+SAMPLE, SLOTS, FACTORS, LEAST, MOST_TERMS = 6_000, 1 << 22, 4, 4, 4096
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning
 STEM_KEY = np.uint64(0xD6E8FEB86659FD93)
 INSIDE = np.zeros(256, bool)
@@ -61,7 +61,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 3
     p1, p0 = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)
     p = (with1 + with0 + 1) / (n1 + n0 + 2)
     g2 = 2 * (with1 * np.log(p1 / p) + (n1 - with1) * np.log((1 - p1) / (1 - p)) + with0 * np.log(p0 / p) + (n0 - with0) * np.log((1 - p0) / (1 - p)))
-    good = np.flatnonzero((g2 > 30) & (with1 + with0 >= LEAST))
+    good = np.flatnonzero((g2 > 12) & (with1 + with0 >= LEAST))
     slots = np.sort(good[np.argsort(-g2[good], kind="stable")[:MOST_TERMS]]).astype(np.int32)
     at = np.minimum(np.searchsorted(slots, flat), max(0, len(slots) - 1))
     hit = slots[at] == flat if len(slots) else np.zeros(len(flat), bool)
@@ -88,7 +88,7 @@ def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 3
         e = (_sigmoid(z) - y) * weight / total
         gw = by_col(e[doc])
         gv = by_col(e[doc, None] * s[doc]) - v * gw[:, None]
-        return [gw + 1e-6 * w, gv + 1e-3 * v, np.array([e.sum()])]
+        return [gw + 1e-5 * w, gv + 3e-2 * v, np.array([e.sum()])]
 
     rng = np.random.Generator(np.random.PCG64(seed))
     share = float((weight * y).sum() / total)
