@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -33,7 +34,7 @@ CAPACITY, END_ID = 4096, 1
 _TOKENIZERS: dict = {}
 _KNOWN: dict = {}
 #: Words whose ids a worker remembers at a time; a working set, not a limit on what is encoded.
-REMEMBER = 500_000
+REMEMBER = 800_000
 #: A full stop or comma after a-z is a token of its own, so it is cut off before words are looked up.
 TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 
@@ -52,9 +53,10 @@ def batch_ids(vocabulary: str, raws: list[bytes]) -> list[bytes]:
         known, old = {}, known
     _KNOWN[vocabulary] = known, old
     texts = [TAIL.sub(rb" \1", raw.lower()).split() for raw in raws]
-    new = [w for w in set().union(*texts) if w not in known]
+    found = [list(map(known.get, words)) for words in texts]
+    holes = [i for i, ids in enumerate(found) if None in ids]
     unmet = []
-    for w in new:
+    for w in {w for i in holes for w, x in zip(texts[i], found[i], strict=True) if x is None}:
         if (x := old.get(w)) is None:
             unmet.append(w)
         else:
@@ -62,8 +64,10 @@ def batch_ids(vocabulary: str, raws: list[bytes]) -> list[bytes]:
     for i in range(0, len(unmet), 10_000):
         part = unmet[i : i + 10_000]
         for w, e in zip(part, _TOKENIZERS[vocabulary].encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in texts]
+            known[w] = array("I", e.ids).tobytes()
+    for i in holes:
+        found[i] = [known[w] if x is None else x for w, x in zip(texts[i], found[i], strict=True)]
+    return [b"".join(ids) for ids in found]
 
 
 def in_portions(raws, most: int = 2 << 20):
@@ -83,8 +87,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, input_ids of each piece of each text."""
     session_ready(docs.sparkSession)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long"] + ["binary"] * with_ids
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long"] + ["array<int>"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["input_ids"] * with_ids
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
@@ -99,12 +103,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                     for c, v in zip(cut, (k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
                         c.append(v)
             cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cut[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cut[1:4])]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(cut[4], pa.binary())] * with_ids, names=names)
+            if with_ids:
+                flat = np.frombuffer(b"".join(cut[4]), "<i4")
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in cut[4]])]).astype(np.int32)), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = body.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, fields, strict=True)))
-    if with_ids:
-        out = out.withColumn("input_ids", F.expr("transform(sequence(0, int(length) - 1), i -> int(conv(hex(reverse(substr(ids, 4 * i + 1, 4))), 16, 10)))")).drop("ids")
-    return out
+    return body.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, fields, strict=True)))
 
 
 class Bins:
