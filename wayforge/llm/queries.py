@@ -99,6 +99,14 @@ select 'call' as kind, conv_id, id as call_id, turn as seq, 0::bigint as level,
 from e
 union all
 select 'orphan', conv_id, call_id, turn, null, false, 0, false, 'no such call', null from results x where not exists (select 1 from f where f.conv_id = x.conv_id and f.id = x.call_id)
+""",
+    "op7_ngram_join": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents),
+g as (select doc_id, list_distinct(case when len(t) >= 4 then list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i+3], ' ')) when len(t) > 0 then [array_to_string(t, ' ')] else [] end) as s from w),
+n as (select doc_id, len(s) as n, list_sort(s) as s from g), e as (select doc_id, n, unnest(s) as x from n),
+links as (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c(node, root) as (select doc_id, doc_id from documents union select case when l.a = c.node then l.b else l.a end, c.root from c join links l on l.a = c.node or l.b = c.node)
+select n.doc_id, n.n as n_shingles, min(c.root) as component_id from n join c on c.node = n.doc_id group by all
 """,
     "op4_exact_dedup": """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
