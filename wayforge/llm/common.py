@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,11 @@ class Scratch:
         for t in tables:
             self._delete(t._scratch_path)
 
+    def settle(self) -> None:
+        """Let go of shuffle files that no live plan needs: Spark removes them when its driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

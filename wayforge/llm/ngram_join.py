@@ -4,15 +4,15 @@ Think of a 0/1 matrix of documents by n-grams. Pairs that reach the threshold t
 among the first n - ceil(t n) + 1 of each, in any one order of all n-grams; only these entries of the
 matrix are multiplied. The order is rare first, by a table of counts over all documents (a fixed
 number of slots, so neither memory nor what is broadcast grows); ties in the table or its noise change
-the work, never the result. Entries meet in blocks of columns (by n-gram); each block gives
-overlap counts of its pairs of different sizes within the bound, counts are summed over blocks, and
-pairs whose count plus what can still follow is below the size-derived bound are discarded. The
+the work, never the result. Entries meet in blocks of columns (by n-gram); a pair counts in a column only if its sizes fit and the
+n-gram stands early enough in both for their size-derived bound. Overlap counts are accumulated over
+all columns, and pairs whose count plus what can still follow is below the bound are discarded. The
 rest is checked on whole sets.
 
-Documents with the same set are one class. Frequent n-grams among near copies: first each column
-links its members with its smallest class only; then only pairs whose classes are not yet in one
-component are multiplied, so a group of near copies costs about its size and not its square, and no link
-between different components is lost.
+Documents with the same set are one class. Frequent n-grams among near copies: first each column links its members
+with its hub, the class that shares most entries with others (a group's original, as a rule); then only
+pairs of different components are multiplied. So a
+group of near copies costs about its size and not its square, and no link between components is lost.
 
 N-grams are compared by 64-bit hashes. Defined cases: a null or blank text has an empty set and
 links with nothing; a text with fewer words than n has one n-gram, the whole sequence; repeated
@@ -25,13 +25,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayforge.llm.common import Scratch
 from wayforge.llm.components import connected_components
 from wayforge.llm.words import mix, text_shingles, texts_of
 
-SLOT_BITS, SLICES = 18, 64
+SLOT_BITS, SLICES = 20, 64
 BLOOM_BITS_LOG2 = 24
 
 
@@ -61,7 +62,7 @@ def _sets(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, np.ndar
                         np.add.at(slots, (g >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), none, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "cls", "slice", "counts"])
-        parts = slots.astype("<i4").reshape(SLICES, -1)
+        parts = np.minimum(slots, 65535).astype("<u2").reshape(SLICES, -1)  # what one task can add to a slot
         some = [i for i in range(SLICES) if parts[i].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(some), b_type(kind)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
@@ -82,7 +83,7 @@ def _sets(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, np.ndar
         have: dict = {}
         for p in batches:
             for s, x in zip(p["slice"], p["counts"], strict=True):
-                have[s] = have.get(s, 0) + np.frombuffer(x, "<i4").astype(np.int64)
+                have[s] = have.get(s, 0) + np.frombuffer(x, "<u2").astype(np.int64)
         yield pd.DataFrame({"slice": list(have), "counts": [np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in have.values()]})
 
     small = both.where("slice is not null").select("slice", "counts").mapInPandas(partial, "slice int, counts binary")
@@ -102,13 +103,13 @@ def need(n_a, n_b, num: int, den: int):
 
 
 def _prefix(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """(gram, cls, n) for the first n - ceil(t n) + 1 n-grams of each set, rare first."""
+    """(gram, cls, n, pos) for the first n - ceil(t n) + 1 n-grams of each set, rare first."""
     table = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         freq, seen = table.value, set()
         for b in batches:
-            grams, cls, size = [], [], []
+            grams, cls, size, pos = [], [], [], []
             for raw in texts_of(b.column(0)):
                 g = text_shingles(raw, k)
                 if not len(g) or (c := class_of(g)) in seen:
@@ -116,70 +117,82 @@ def _prefix(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                 if len(seen) < 100_000:  # copies in one task are sent once; elsewhere they meet later
                     seen.add(c)
                 p = len(g) + (-num * len(g)) // den + 1
-                f = freq[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
-                # sizes of the table's counts in steps of a quarter, so noise does not reorder
-                step = np.floor(np.log2(np.maximum(f, 1)) * 4).astype(np.int64)
-                pick = np.lexsort((g, step))[:p]
+                f = freq[(g >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                pick = np.lexsort((g, f))[:p]
                 grams.append(g[pick])
                 cls.append(np.full(p, c, np.int64))
                 size.append(np.full(p, len(g), np.int32))
+                pos.append(np.arange(p, dtype=np.int32))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(cls)), pa.array(np.concatenate(size))], names=["gram", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], cls, size, pos)], names=["gram", "cls", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "gram long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
 def _columns(prefix: DataFrame) -> DataFrame:
-    """(gram, cls, n) of n-grams that at least two classes have; a block of columns in each task."""
+    """(gram, cls, n, pos) of n-grams that at least two classes have; a block of columns in each task."""
 
     def run(batches):
-        cols = [[], [], []]
+        cols = [[], [], [], []]
         for b in batches:
-            for i in range(3):
+            for i in range(4):
                 cols[i].append(b.column(i).to_numpy(zero_copy_only=False))
         if not cols[0]:
             return
-        gram, cls, n = (np.concatenate(c) for c in cols)
+        gram, cls, n, pos = (np.concatenate(cols.pop(0)) for _ in range(4))
         order = np.lexsort((cls, gram))
-        gram, cls, n = gram[order], cls[order], n[order]
+        gram, cls, n, pos = gram[order], cls[order], n[order], pos[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        gram, cls, n = gram[new], cls[new], n[new]
+        gram, cls, n, pos = gram[new], cls[new], n[new], pos[new]
         same = gram[1:] == gram[:-1]
         many = np.zeros(len(gram), bool)
         many[1:] |= same
         many[:-1] |= same
-        gram, cls, n = gram[many], cls[many], n[many]
+        gram, cls, n, pos = gram[many], cls[many], n[many], pos[many]
         for i in range(0, len(gram), 100_000):
             s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[s]), pa.array(cls[s]), pa.array(n[s])], names=["gram", "cls", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (gram, cls, n, pos)], names=["gram", "cls", "n", "pos"])
 
-    return prefix.repartition("gram").mapInArrow(run, "gram long, cls long, n int")
+    return prefix.repartition("gram").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
-def _star_pairs(columns: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, n_a, n_b, shared): members of a column with its smallest class."""
-    low = columns.groupBy("gram").agg(F.min(F.struct("cls", "n")).alias("c"))
-    pairs = columns.join(low, "gram").where(
-        f"cls <> c.cls and {den} * least(n, c.n) >= {num} * greatest(n, c.n)"
-    )
-    return pairs.groupBy(F.col("c.cls").alias("a"), F.col("cls").alias("b")).agg(
-        F.max("c.n").alias("n_a"), F.max("n").alias("n_b"), F.count(F.lit(1)).alias("shared")
-    )
+def _open(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of the columns that still hold several components, with their roots."""
+    if labels is None:
+        return columns.withColumn("root", F.col("cls"))
+    named = columns.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    several = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
+    return named.join(several, "gram", "left_semi")
 
 
-def _cross_pairs(columns: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, n_a, n_b, shared): pairs of a column that are not in one component yet."""
-    named = columns.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    left = named.join(mixed, "gram", "left_semi")
-    a, b = left.alias("a"), left.alias("b")
-    pairs = a.join(b, F.col("a.gram") == F.col("b.gram")).where(
-        f"a.cls < b.cls and a.root <> b.root and {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-    )
-    return pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(
-        F.max("a.n").alias("n_a"), F.max("b.n").alias("n_b"), F.count(F.lit(1)).alias("shared")
-    )
+def _hub_pairs(entries: DataFrame, hubs: int, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared): members of a column with its first hubs; entries have weight w."""
+    best = F.row_number().over(W.partitionBy("gram").orderBy(F.desc("w"), "cls"))
+    first = entries.withColumn("r", best).where(f"r <= {hubs}").select("gram", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
+    pairs = entries.join(first, "gram").where(f"root <> hub_root and {den} * least(n, hub_n) >= {num} * greatest(n, hub_n)")
+    low, one = F.col("cls") < F.col("hub"), F.struct(F.col("cls"), F.col("n"))
+    other = F.struct(F.col("hub").alias("cls"), F.col("hub_n").alias("n"))
+    ends = pairs.select(F.when(low, one).otherwise(other).alias("x"), F.when(low, other).otherwise(one).alias("y"))
+    return ends.groupBy(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).agg(F.max("x.n").alias("n_a"), F.max("y.n").alias("n_b"), F.count(F.lit(1)).alias("shared"))
+
+
+def _cross_pairs(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of different components that share an n-gram early enough in both."""
+    a, b = entries.alias("a"), entries.alias("b")
+    least = f"ceil({num} * (a.n + b.n) / {num + den})"
+    pairs = a.join(b, F.expr(
+        f"a.gram = b.gram and a.cls < b.cls and a.root <> b.root and {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) "
+        f"and a.pos <= a.n - {least} and b.pos <= b.n - {least}"
+    ))
+    return pairs.groupBy(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).agg(F.max("a.n").alias("n_a"), F.max("b.n").alias("n_b"))
+
+
+def _counted(pairs: DataFrame, columns: DataFrame) -> DataFrame:
+    """Adds shared, the overlap of the two prefixes."""
+    rows = columns.groupBy("cls").agg(F.collect_list("gram").alias("grams"))  # at most a prefix
+    x, y = rows.select(F.col("cls").alias("a"), F.col("grams").alias("x")), rows.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("x", "y")).alias("shared"))
 
 
 def _bounded(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -264,14 +277,22 @@ def ngram_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 8
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sets, counts = _sets(body, scratch, k)
     columns = scratch.write(_columns(_prefix(body, counts, k, num, den)), "columns")
-    # Spurious pairs of the first round are dropped by their count alone; the second decides them.
-    star = _star_pairs(columns, num, den)
-    tail = lambda n: f"(ceil({num} * {n} / {den}) - 1)"
-    first = _verified(body, star.where(f"2 * shared >= ceil({num} * (n_a + n_b) / {num + den}) - greatest({tail('n_a')}, {tail('n_b')})"), scratch, k, num, den)
-    labels = connected_components(first, scratch)
-    second = _bounded(_cross_pairs(columns, labels, num, den), num, den)
-    links = first.select("a", "b").unionByName(_verified(body, second, scratch, k, num, den).select("a", "b"))
+    scratch.settle()
+    size = columns.groupBy("gram").agg(F.count(F.lit(1)).alias("m"))
+    weight = columns.join(size, "gram").groupBy("cls").agg(F.sum("m").alias("w"))
+    weighted = scratch.write(columns.join(weight, "cls"), "weighted")
+    # What the bound discards here for want of counts in other columns, the exact round takes up again.
+    likely = _bounded(_hub_pairs(_open(weighted, None), 1, num, den), num, den)
+    links = _verified(body, likely, scratch, k, num, den).select("a", "b")
+    labels = connected_components(links, scratch)
+    scratch.settle()
+    entries = scratch.write(_open(columns, labels), "open")
+    cross = scratch.write(_cross_pairs(entries, num, den), "cross")
+    scratch.settle()
+    rest = _bounded(_counted(cross, columns), num, den)
+    links = links.unionByName(_verified(body, rest, scratch, k, num, den).select("a", "b"))
     labels = connected_components(links, scratch)
+    scratch.drop(weighted, entries, cross)
     scratch.drop(columns)
     named = sets.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     low = named.where("cls is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
