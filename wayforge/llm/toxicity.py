@@ -27,7 +27,7 @@ from wayforge.llm.quality import _adam, _sigmoid
 from wayforge.llm.sampling import held_out, pick, with_texts
 from wayforge.llm.words import LOWER, hash_spans, texts_of
 
-SAMPLE, SLOTS, FACTORS, LEAST, MOST_TERMS = 6_000, 1 << 22, 4, 4, 4096
+SAMPLE, SLOTS, FACTORS, LEAST, MOST_TERMS = 4_000, 1 << 22, 4, 4, 4096
 STEMS = (4, 5, 6, 7, 8)  # bytes of a word's beginning
 STEM_KEY = np.uint64(0xD6E8FEB86659FD93)
 INSIDE = np.zeros(256, bool)
@@ -55,19 +55,19 @@ def terms(raw: bytes) -> np.ndarray:
 
 def fit(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 3, steps: int = 500) -> dict:
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    flat, doc = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    with1 = np.bincount(flat, y[doc], minlength=SLOTS)
-    with0 = np.bincount(flat, minlength=SLOTS) - with1
-    p1, p0 = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)
-    p = (with1 + with0 + 1) / (n1 + n0 + 2)
+    with1, with0 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for bag, label in zip(bags, y, strict=True):  # a bag holds each slot once
+        (with1 if label else with0)[bag] += 1
+    some = np.flatnonzero(with1 + with0 >= LEAST)
+    with1, with0 = with1[some].astype(float), with0[some].astype(float)
+    p1, p0, p = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1), (with1 + with0 + 1) / (n1 + n0 + 2)
     g2 = 2 * (with1 * np.log(p1 / p) + (n1 - with1) * np.log((1 - p1) / (1 - p)) + with0 * np.log(p0 / p) + (n0 - with0) * np.log((1 - p0) / (1 - p)))
-    good = np.flatnonzero((g2 > 12) & (with1 + with0 >= LEAST))
-    slots = np.sort(good[np.argsort(-g2[good], kind="stable")[:MOST_TERMS]]).astype(np.int32)
-    at = np.minimum(np.searchsorted(slots, flat), max(0, len(slots) - 1))
-    hit = slots[at] == flat if len(slots) else np.zeros(len(flat), bool)
-    doc, col = doc[hit], at[hit]
+    good = np.flatnonzero(g2 > 12)
+    slots = np.sort(some[good[np.argsort(-g2[good], kind="stable")[:MOST_TERMS]]]).astype(np.int32)
+    cols = [np.searchsorted(slots, bag[np.isin(bag, slots)]) for bag in bags]
+    rows = np.array([len(x) for x in cols])
+    col, doc = np.concatenate([*cols, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(bags)), rows)
     order = np.argsort(col, kind="stable")
-    rows = np.bincount(doc, minlength=len(bags))
     edges = np.concatenate([[0], np.cumsum(rows)])
     total = weight.sum()
 
@@ -118,7 +118,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([terms(t).tobytes() for t in texts_of(b.column(1))], pa.binary())], names=["tag", "x"])
 
-    rows = sorted({(r["tag"], bytes(r["x"])) for r in picked[0].union(picked[1]).mapInArrow(run, "tag string, x binary").collect()})
+    got = picked[0].union(picked[1]).mapInArrow(run, "tag string, x binary").toArrow()  # at most 2 * most rows
+    rows = sorted(set(zip(got.column("tag").to_pylist(), got.column("x").to_pylist(), strict=True)))
+    del got
     y = np.array([float(t) for t, _ in rows])
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
