@@ -95,7 +95,7 @@ def mix(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "
     target = water_fill([r[2] for r in per], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))], most)
     blocks = [-(-r[2] // block_words) for r in per]
     quota = [min(int(most * b), round(t * b / r[2])) if r[2] else 0 for r, t, b in zip(per, target, blocks, strict=True)]
-    buckets = [1 + r[1] // 20_000 for r in per]
+    buckets = [1 + r[1] // 1_000 for r in per]
     kind = sized.schema["source"].dataType.simpleString()
     sources = spark.createDataFrame(
         [(i, r[0], r[2], t, b, n) for i, (r, t, b, n) in enumerate(zip(per, target, blocks, buckets, strict=True))],
