@@ -166,6 +166,20 @@ def test_lines_against_brute_force(spark, scratch):
     assert n >= 90 and len(wrong) <= 0.02 * n
 
 
+def test_template_lines_against_brute_force(spark, scratch):
+    """Lines that share a long opening meet in the same buckets; similar ones there are mostly not neighbours."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    opening, texts = word(80), []
+    for _ in range(300):
+        end = word(16)
+        texts += [opening + end, opening + end[:-2] + word(2)]
+    rng.shuffle(texts)
+    want, n = brute_lines(texts)
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.dedup_lines(docs_of(spark, texts), scratch).collect()}
+    assert n >= 250 and len([k for k in want if got[k] != want[k]]) <= 0.01 * n
+
+
 def test_lines_odd_rows(spark, scratch):
     rows = line_dedup.dedup_lines(odd_docs(spark), scratch).collect()
     assert all(r["kept"] for r in rows if r["doc_id"] in (4, 5)) and not [r for r in rows if r["doc_id"] == 3]
