@@ -180,6 +180,15 @@ def test_template_lines_against_brute_force(spark, scratch):
     assert n >= 250 and len([k for k in want if got[k] != want[k]]) <= 0.01 * n
 
 
+def test_long_lines_without_words(spark, scratch):
+    """Tables of short words, text without white space, and rules of several lengths have candidates too."""
+    rng = random.Random(12)
+    table_, text = " ".join(str(rng.randrange(1000)) for _ in range(80)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
+    texts = [table_, table_[:100] + "#" + table_[101:], text, "\u4e01" + text[1:], "=" * 100, "=" * 150]
+    got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.dedup_lines(docs_of(spark, texts), scratch).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_lines_odd_rows(spark, scratch):
     rows = line_dedup.dedup_lines(odd_docs(spark), scratch).collect()
     assert all(r["kept"] for r in rows if r["doc_id"] in (4, 5)) and not [r for r in rows if r["doc_id"] == 3]
