@@ -1,8 +1,8 @@
 """Language-model scores: marginal likelihood of a text over all its segmentations into subwords.
 
 The pieces are those of an existing public vocabulary (a `word_begin` mark and pieces that never span
-white space, with byte pieces as fallback); their unigram probabilities start from the vocabulary's own
-scores and are re-estimated by expectation maximisation on the distinct words of the training
+white space, with byte pieces as fallback); their unigram probabilities start from scores by the vocabulary's
+order and are re-estimated by expectation maximisation on the distinct words of the training
 documents: each word weights all its segmentations (forward and backward recursions in log space) and
 gives expected piece counts. A word that training has seen is one more edge of its lattice, from its
 first node to its last: of c occurrences, c - D count for this edge, and the discounts of all words
@@ -15,7 +15,7 @@ each document as counts of the run's words. Words meet by their text (combined b
 get their corpus count and log-probability, and go back to the runs that have them.
 
 Defined cases: a null text counts as empty: one end token; an empty table gives no rows; without any
-training text, the vocabulary's own scores hold; very long words are worked out like others, in
+training text, the scores by order hold; very long words are worked out like others, in
 memory proportional to the word.
 """
 
