@@ -65,7 +65,7 @@ def untagged_roundabouts(ways: DataFrame, budget: float = 200.0) -> DataFrame:
 
 
 def triangles(ways: DataFrame, budget: float = 200.0, least_area: float = 50.0) -> DataFrame:
-    """triangle_id, way_id, has_non_residential: loops of three ways and more that are triangles by area and corner angles."""
+    """triangle_id, way_id, has_non_residential: loops of three ways and more with three distinct ends that are triangles by area and corner angles."""
     from wayforge.sources.geojson import explode_nodes
 
     found = loops(ways, budget).select(F.array_sort("path").alias("path")).distinct().where("size(path) >= 3")
