@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from shared import SF
 from llm_helpers import docs_of, odd_docs
 
@@ -180,13 +181,67 @@ def test_template_lines_against_brute_force(spark, scratch):
     assert n >= 250 and len([k for k in want if got[k] != want[k]]) <= 0.01 * n
 
 
+def all_links(lines):
+    """All pairs at 0.8 or more, by counts of shared shingles over an inverted index; no candidates are left out."""
+    sets = [{ln[j : j + 5] for j in range(len(ln) - 4)} if len(ln) > 5 else {ln} for ln in lines]
+    links: list = []
+    having: dict = {}
+    for i, s in enumerate(sets):
+        if i:
+            found = [having[g] for g in s if g in having]
+            if found:
+                other, shared = np.unique(np.concatenate([np.array(x) for x in found]), return_counts=True)
+                links += [(i, int(j)) for j, n in zip(other, shared, strict=True) if 10 * n >= 8 * (len(s) + len(sets[j]) - n)]
+        for g in s:
+            having.setdefault(g, []).append(i)
+    return links
+
+
+def test_lines_of_documents_against_all_pairs(spark, scratch):
+    """Every link of an all-pairs join over the lines of documents is found: the components are the same."""
+    df = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    lines = [(r["doc_id"], k, ln) for r in df.select("doc_id", "text").orderBy("doc_id").collect() for k, ln in enumerate((r["text"] or "").split("\n")) if ln.strip(" ")]
+    different = sorted({ln for *_, ln in lines})
+    links = all_links(different)
+    root = union_find(len(different), links)
+    at, first = {ln: root[i] for i, ln in enumerate(different)}, {}
+    for i, k, ln in lines:
+        first.setdefault(at[ln], (i, k))
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.dedup_lines(df, scratch).collect()}
+    assert len(links) > 200 and [x for x in lines if got[x[:2]] != first[at[x[2]]]] == []
+
+
+def test_repeated_rows_keep_one_line(spark, scratch):
+    df = docs_of(spark, ["one line here\n\nand a second line", "and a second line"]).withColumn("root", F.lit(1)).withColumn("line_id", F.lit("x"))
+    rows = line_dedup.dedup_lines(df.union(df), scratch).collect()
+    assert len(rows) == 8 and sum(r["kept"] for r in rows) == 4
+    assert sorted((r["doc_id"], r["line_no"]) for r in rows if r["kept"]) == [(0, 0), (0, 1), (0, 1), (0, 2)]
+
+
+def test_large_buckets_and_hot_lines(spark, scratch, monkeypatch):
+    """Small limits send buckets through two bands and blocks; a line that most rows share is joined by broadcast."""
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    rng = random.Random(4)
+    opening = "".join(rng.choice("abcdefgh") for _ in range(60))
+    texts = []
+    for _ in range(60):
+        end = "".join(rng.choice("ijklmnop") for _ in range(14))
+        texts += [opening + end + "\nthe same footer on each page", opening + end[:-1] + "z"]
+    want, n = brute_lines(texts)
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.dedup_lines(docs_of(spark, texts), scratch).collect()}
+    assert n >= 60 and len([k for k in want if got[k] != want[k]]) <= 0.02 * n
+
+
 def test_long_lines_without_words(spark, scratch):
     """Tables of short words, text without white space, and rules of several lengths have candidates too."""
     rng = random.Random(12)
     table_, text = " ".join(str(rng.randrange(1000)) for _ in range(80)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(300))
     texts = [table_, table_[:100] + "#" + table_[101:], text, "\u4e01" + text[1:], "=" * 100, "=" * 150]
+    short = " ".join(rng.choice(["a", "of", "to", "is", "it", "we", "no", "up", "my", "at"]) for _ in range(100))
+    texts += [short, short[:130] + "q" + short[131:]]
     got = {r["doc_id"]: r["keep_doc_id"] for r in line_dedup.dedup_lines(docs_of(spark, texts), scratch).collect()}
-    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 6}
 
 
 def test_lines_odd_rows(spark, scratch):

@@ -96,3 +96,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc32_mod(col, n: int):
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "left", share: int = 1000) -> DataFrame:
+    """rows with the columns of their group, of which `size` says how many rows it has; rows without a group (or with a
+    null key) have nulls, or go if how is "inner". groups has a row for each key; both are read several times, so they
+    should be tables.
+
+    Groups with more than 1 / share of all grouped rows are fewer than `share`, so they are broadcast, and
+    their rows stay where they are; the others are shuffled, and none is large.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * share > total)
+    cold = groups.where(F.col(size) * share <= total)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
+    out = few.unionByName(rest.select(*few.columns))
+    if how == "inner":
+        return out
+    none = rows.where(F.col(key).isNull()).select(*(F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in few.columns))
+    return out.unionByName(none)
