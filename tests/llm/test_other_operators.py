@@ -40,7 +40,7 @@ def test_pieces_are_those_of_the_tokenizer(spark, scratch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary(BPE))
-    odd = ["It's a.b, c... d,, e.\n\nF. <|endoftext|> x", "ÀÉ, ñandú. ÷. éx. 日本,語.", "don't, we'll. I'VE!", "a b, c. İSTANBUL ß", "", None, "x" * 9000, "1,2. 3.4, v2.", "tab\tand\x0bvt\x1cfs\x85nel"]
+    odd = ["It's a.b, c... d,, e.\n\nF. <|endoftext|> x", "ÀÉ, ñandú. ÷. éx. 日本,語.", "don't, we'll. I'VE!", "a b, c. İSTANBUL ß", "", None, "x" * 9000, "1,2. 3.4, v2.", "<|ENDOFTEXT|> a <|EndOfText|> b.", "A <|endoftext|>b, <|STARTOFTEXT|>", "tab\tand\x0bvt\x1cfs\x85nel"]
     texts = odd + [r["text"] for r in documents(spark).limit(60).collect()]
     got = {}
     for r in packing.pieces(docs_of(spark, texts), vocabulary(BPE), capacity=64, with_ids=True).collect():
@@ -53,20 +53,53 @@ def test_pieces_are_those_of_the_tokenizer(spark, scratch):
             assert p["ids_crc32"] == zlib.crc32(np.array(p["input_ids"], "<u4").tobytes()) and p["start"] == 64 * p["piece"] and p["length"] == len(p["input_ids"])
 
 
+def brute_search(hist, cap):
+    """Sequences after the same kinds of exchange, on single bins, each tried against each."""
+    bins = [[x] for x, n in hist.items() for _ in range(n)]
+    fill = lambda b: sum(b)
+    again = True
+    while again:
+        again = False
+        bins.sort(key=fill)
+        for d in bins:
+            for t in reversed(bins):
+                if t is d or fill(t) == cap:
+                    continue
+                gives = [[x] for x in d] + [[x, y] for i, x in enumerate(d) for y in d[i + 1 :]]
+                backs = [[], *([x] for x in t), *([x, y] for i, x in enumerate(t) for y in t[i + 1 :])]
+                good = [(g, b) for g in gives for b in backs if len(g) + len(b) <= 3 and 0 < sum(g) - sum(b) <= cap - fill(t) and fill(t) + sum(g) - sum(b) > fill(d)]
+                if good:
+                    g, b = max(good, key=lambda m: sum(m[0]) - sum(m[1]))
+                    for x in g:
+                        d.remove(x)
+                    for x in b:
+                        t.remove(x)
+                    d += b
+                    t += g
+                    again = True
+                    break
+            if again:
+                break
+        bins = [b for b in bins if b]
+    return len(bins)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_are_tight(seed):
     rng = random.Random(seed)
     cap = 100
     hist = {}
-    for _ in range(400):
+    for _ in range(120):
         x = rng.choice([rng.randrange(1, 101), rng.randrange(30, 55), 100])
         hist[x] = hist.get(x, 0) + 1
     rows = packing.plan(hist, cap)
-    bins = packing.best_fit(hist, cap)
-    before = sum(bins.count.values())
-    packing.local_search(bins)
+    bins = packing.best_fit(hist, cap, packing.any_order)
+    before, squares = sum(bins.count.values()), lambda: sum(n * (cap - bins.room(b)) ** 2 for b, n in bins.count.items())
+    start = squares()
+    steps = packing.local_search(bins)
     after = sum(bins.count.values())
-    assert after <= before and sum((r[2] - r[1]) for r in rows) == sum(hist.values())
+    assert after <= before and (squares() > start) == (steps > 0) and sum((r[2] - r[1]) for r in rows) == sum(hist.values())
+    assert after <= brute_search(hist, cap) + 1
     assert after <= -(-sum(x * n for x, n in hist.items()) // cap) * 1.05 + 1
 
 
@@ -78,6 +111,15 @@ def test_local_search_empties_bins():
     assert sum(bins.count.values()) == 2
 
 
+def test_search_does_the_packing(spark):
+    """On the lengths of documents the search makes steps, and no fewer sequences are possible."""
+    n = {}
+    for r in packing.pieces(spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet"), vocabulary(BPE)).groupBy("length").count().collect():
+        n[r["length"]] = r["count"]
+    bins = packing.best_fit(n, 4096, packing.any_order)
+    assert packing.local_search(bins) > 0 and sum(bins.count.values()) == -(-sum(x * k for x, k in n.items()) // 4096)
+
+
 def test_packing_layout_and_odd_rows(spark, scratch):
     rows = packing.pack_documents(documents(spark), scratch, vocabulary(BPE)).collect()
     n = check_layout(rows, 4096)

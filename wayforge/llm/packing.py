@@ -1,16 +1,19 @@
-"""Best-fit packing of token pieces into sequences of a fixed capacity, with local search.
+"""Best-fit packing of token pieces into sequences of a fixed capacity, by swap-based local search.
 
 Only the histogram of piece lengths (at most `capacity` numbers) reaches the driver: pieces of one
-length are alike, so best-fit decreasing and the search that follows work on classes of equal bins
-(a pattern of lengths and how many bins have it), and their size depends on the capacity and not on
-the number of documents. Local search takes from the emptiest bins: it moves a document, exchanges
-one for one, two for one or one for two with another underfull bin, whenever this raises the sum of
-squared fills, until bins empty or nothing helps. Pieces then find their place by their rank
-among the pieces of their length.
+length are alike, so the packing works on classes of equal bins (a pattern of lengths and how many bins have it), and
+their size depends on the capacity and not on the number of documents. It starts from best fit in an order that has
+nothing to do with length, as if documents came as they come, and local search does the rest: the emptiest bins
+move a document, exchange one for one, two for one or one for two with another underfull bin, wherever this raises the
+sum of squared fills, tightest receiver first, until no sequence more could be saved or no exchange helps. The sum of
+squares rises with each step, so it ends by itself; there is no limit on steps, bins or documents tried. If it
+ends above the bound that the sum of lengths sets, the same search runs from best fit by decreasing length
+too, and the packing with fewer sequences is taken. Pieces then find their place by their rank among the pieces of their length.
 
 Defined cases: a null text counts as empty and gives one piece that holds the end id only; an empty
 table gives no rows; rows that repeat are separate documents; very long texts are cut into pieces
-of `capacity` tokens, the last may be shorter.
+of `capacity` tokens, the last may be shorter; other columns are not read; ties between equal lengths go by all
+columns of a piece.
 """
 
 from __future__ import annotations
@@ -36,23 +39,28 @@ _KNOWN: dict = {}
 #: Words whose ids a worker remembers at a time; a working set, not a limit on what is encoded.
 REMEMBER = 800_000
 #: A full stop or comma after a-z is a token of its own, so it is cut off before words are looked up.
-TAIL = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
+TAIL = re.compile(rb"[.,](?<=[a-z][.,])(?=[ \n]|$)")
 
 
 def batch_ids(vocabulary: str, raws: list[bytes]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit. The vocabulary folds case, drops white space
     and joins nothing across it, so a text's ids are those of its words in order; a word is encoded
-    when a worker meets it first, and words it has not met for long are forgotten."""
+    when a worker meets it first, and words it has not met for long are forgotten. Added tokens are matched before case
+is folded, so a text that may hold one is encoded as it stands."""
     if vocabulary not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[vocabulary] = Tokenizer.from_file(vocabulary)
+        t = Tokenizer.from_file(vocabulary)
+        _TOKENIZERS[vocabulary] = t, [x.content.lower().encode() for x in t.get_added_tokens_decoder().values()]
+    tokenizer, added = _TOKENIZERS[vocabulary]
     known, old = _KNOWN.get(vocabulary, ({}, {}))
     if len(known) > REMEMBER:
         known, old = {}, known
     _KNOWN[vocabulary] = known, old
-    texts = [TAIL.sub(rb" \1", raw.lower()).split() for raw in raws]
+    lows = [raw.lower() for raw in raws]
+    special = {i for i, low in enumerate(lows) if any(x in low for x in added)}
+    texts = [[] if i in special else TAIL.sub(rb" \g<0>", low).split() for i, low in enumerate(lows)]
     found = [list(map(known.get, words)) for words in texts]
     holes = [i for i, ids in enumerate(found) if None in ids]
     unmet = []
@@ -63,10 +71,12 @@ def batch_ids(vocabulary: str, raws: list[bytes]) -> list[bytes]:
             known[w] = x
     for i in range(0, len(unmet), 10_000):
         part = unmet[i : i + 10_000]
-        for w, e in zip(part, _TOKENIZERS[vocabulary].encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
+        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
     for i in holes:
         found[i] = [known[w] if x is None else x for w, x in zip(texts[i], found[i], strict=True)]
+    for i in special:
+        found[i] = [array("I", tokenizer.encode(raws[i].decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()]
     return [b"".join(ids) for ids in found]
 
 
@@ -149,10 +159,15 @@ def _with(items: tuple, plus: tuple = (), minus: tuple = ()) -> tuple:
     return tuple(sorted(((x, k) for x, k in d.items() if k), reverse=True))
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
-    """Best-fit decreasing, whole classes of bins at a time."""
+def any_order(x: int) -> int:
+    """A fixed key that orders lengths without regard to size."""
+    return (x * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % 2**64 >> 13
+
+
+def best_fit(histogram: dict[int, int], capacity: int, key=None) -> Bins:
+    """Best fit, whole classes of bins at a time; lengths in decreasing order, or by key."""
     bins = Bins(capacity)
-    for x in sorted(histogram, reverse=True):
+    for x in sorted(histogram, key=key, reverse=key is None):
         left = histogram[x]
         while left:
             i = bisect_left(bins.rooms, x)
@@ -176,61 +191,110 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Bins:
     return bins
 
 
-def local_search(bins: Bins, most_steps: int = 4000, donors: int = 24) -> int:
+def _parts(items: tuple, most: int):
+    """What a bin can give: nothing, each document, and each two if most is 2."""
+    yield ()
+    for i, (x, k) in enumerate(items):
+        yield (x,)
+        if most == 2:
+            if k > 1:
+                yield x, x
+            for y, _ in items[i + 1 :]:
+                yield x, y
+
+
+class Receivers:
+    """Underfull bins by the documents they can take in: the room once they have given something back.
+
+    Slot k holds (bin, what it gives) with room + sum(given) = k, apart for at most one document given and for two; a
+    mask of bits finds the next slot in use.
+    """
+
+    def __init__(self, capacity: int):
+        self.slots = [[{} for _ in range(2 * capacity + 1)] for _ in range(2)]
+        self.masks = [0, 0]
+
+    def add(self, items: tuple, room: int) -> None:
+        for g in _parts(items, 2) if room else ():
+            two, k = len(g) == 2, room + sum(g)
+            self.slots[two][k][items, g] = room
+            self.masks[two] |= 1 << k
+
+    def drop(self, items: tuple, room: int) -> None:
+        for g in _parts(items, 2) if room else ():
+            two, k = len(g) == 2, room + sum(g)
+            del self.slots[two][k][items, g]
+            if not self.slots[two][k]:
+                self.masks[two] &= ~(1 << k)
+
+    def tightest(self, offer: tuple, below: int, usable):
+        """(room left, bin, given) of the receiver that offer fills most, with less room left than below; None without one."""
+        size, best = sum(offer), None
+        for two in range(1 if len(offer) == 2 else 2):
+            k, mask = size, self.masks[two] >> size
+            while mask:
+                skip = (mask & -mask).bit_length() - 1
+                k, mask = k + skip, mask >> skip
+                if k - size >= below:
+                    break
+                # More comes in than goes out: what is left is less than the room there was.
+                hit = next((e for e, room in self.slots[two][k].items() if room > k - size and usable(e[0])), None)
+                if hit:
+                    below, best = k - size, (k - size, *hit)
+                    break
+                k, mask = k + 1, mask >> 1
+        return best
+
+
+def local_search(bins: Bins) -> int:
     """Improve until the bound on sequences is met or no exchange helps. Returns the steps made."""
     total = sum(n * (bins.capacity - bins.room(b)) for b, n in bins.count.items())
-    least = -(-total // bins.capacity)
-    for step in range(most_steps):
-        if sum(bins.count.values()) <= least:
-            return step
-        under = sorted((b for r in bins.rooms if r for b in bins.by_room[r]), key=lambda b: (-bins.room(b), b))
-        if not _improve(bins, under, donors):
-            return step
-    return most_steps
-
-
-def _improve(bins: Bins, under: list[tuple], donors: int) -> bool:
-    # What each underfull bin can give in exchange: nothing, one document or two.
-    gives, rooms, owner = [], [], []
-    for i, b in enumerate(under):
-        lengths = [x for x, _ in b]
-        twos = [(x, y) for j, x in enumerate(lengths[:12]) for y in lengths[j:12] if x != y or dict(b)[x] > 1]
-        for g in [(), *((x,) for x in lengths), *twos]:
-            gives.append(g)
-            rooms.append(bins.room(b))
-            owner.append(i)
-    out, room, own = np.array([sum(g) for g in gives]), np.array(rooms), np.array(owner)
-    n_out = np.array([len(g) for g in gives])
-    for d, donor in enumerate(under[:donors]):
-        lengths = [x for x, _ in donor]
-        offers = [(x,) for x in lengths] + [(x, y) for j, x in enumerate(lengths) for y in lengths[j:] if x != y or dict(donor)[x] > 1]
-        best, move = 0, None
-        for offer in offers:
-            gain = sum(offer) - out
-            ok = (gain > 0) & (gain <= room) & (n_out <= (1 if len(offer) == 2 else 2))
-            same = own == d
-            ok &= ~same if bins.count[donor] < 2 else True
-            # Squared fill rises: the receiver is at least as full as the donor, or is filled past it.
-            ok &= (room - gain) < bins.room(donor)
-            if ok.any():
-                j = int(np.argmax(np.where(ok, gain * 10_000 - room, -(10**12))))
-                if gain[j] * 10_000 - room[j] > best or move is None:
-                    best, move = gain[j] * 10_000 - room[j], (offer, gives[j], under[own[j]])
-        if move:
-            offer, back, taker = move
-            n = bins.count[donor] // 2 if taker == donor else min(bins.count[donor], bins.count[taker])
-            bins.take(donor, n)
-            bins.take(taker, n)
-            bins.add(_with(donor, back, offer), n)
-            bins.add(_with(taker, offer, back), n)
-            return True
-    return False
+    least, sequences, steps = -(-total // bins.capacity), sum(bins.count.values()), 0
+    receivers = Receivers(bins.capacity)
+    for b in bins.count:
+        receivers.add(b, bins.room(b))
+    while sequences > least:
+        move = _improving(bins, receivers)
+        if not move:
+            break
+        donor, offer, taker, back = move
+        n = bins.count[donor] // 2 if taker == donor else min(bins.count[donor], bins.count[taker])
+        for b in (donor, taker):
+            bins.take(b, n)
+            if b not in bins.count:
+                receivers.drop(b, bins.room(b))
+        for b in (_with(donor, back, offer), _with(taker, offer, back)):
+            if b and b not in bins.count:
+                receivers.add(b, bins.room(b))
+            bins.add(b, n)
+            sequences -= 0 if b else n
+        steps += 1
+    return steps
+
+
+def _improving(bins: Bins, receivers: Receivers):
+    """(donor, offer, taker, given back) of the emptiest bin that has an exchange which raises the sum of squared fills."""
+    for room in reversed(bins.rooms):
+        for donor in bins.by_room[room] if room else ():
+            best, usable = None, lambda b, d=donor: b != d or bins.count[d] > 1
+            # Squares rise where the receiver ends fuller than the donor began.
+            below = room
+            for offer in _parts(donor, 2):
+                if offer and below and (found := receivers.tightest(offer, below, usable)):
+                    below, best = found[0], (donor, offer, found[1], found[2])
+            if best:
+                return best
+    return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, first rank, end rank, documents a bin, offset, first sequence), sorted."""
-    bins = best_fit(histogram, capacity)
+    bins = best_fit(histogram, capacity, any_order)
     local_search(bins)
+    if sum(bins.count.values()) > -(-sum(x * n for x, n in histogram.items()) // capacity):
+        other = best_fit(histogram, capacity)
+        local_search(other)
+        bins = min(bins, other, key=lambda b: sum(b.count.values()))
     used, rows, sequence = dict.fromkeys(histogram, 0), [], 0
     for items, n in bins.count.items():
         at = 0
