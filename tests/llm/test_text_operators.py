@@ -262,18 +262,49 @@ def test_shingles_with_the_mark_itself(spark):
 # language model
 
 
-def brute_marginal(v, score, word):
+def pieces_by_text():
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
-    ids = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i) and not sp.is_unknown(i)}
+    return {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i) and not sp.is_unknown(i)}
+
+
+def brute_edges(v, score, t, ids):
+    """(from, to, pieces, probability) of all edges of a word with its mark."""
+    n = len(t)
+    out = [(i, i + 1, [v.byte[b] for b in t[i].encode()]) for i in range(n)]
+    out += [(i, j, [ids[t[i:j]]]) for i in range(n) for j in range(i + 1, min(n, i + v.longest) + 1) if t[i:j] in ids]
+    return [(i, j, p, math.exp(sum(score[x] for x in p))) for i, j, p in out]
+
+
+def brute_marginal(v, score, word, ids=None):
     t = "▁" + word
     a = [1.0] + [0.0] * len(t)
-    for j in range(1, len(t) + 1):
-        a[j] = a[j - 1] * math.exp(sum(score[v.byte[b]] for b in t[j - 1].encode())) + sum(a[i] * math.exp(score[ids[t[i:j]]]) for i in range(j) if t[i:j] in ids)
+    for i, j, _, p in sorted(brute_edges(v, score, t, ids or pieces_by_text()), key=lambda e: e[0]):
+        a[j] += a[i] * p
     return math.log(a[-1])
 
 
+def brute_expected(v, score, word, ids):
+    """Expected pieces, by listing every segmentation."""
+    t = "▁" + word
+    by, total, out = {}, 0.0, Counter()
+    for e in brute_edges(v, score, t, ids):
+        by.setdefault(e[0], []).append(e)
+
+    def walk(at, p, used):
+        nonlocal total
+        if at == len(t):
+            total += p
+            for x in used:
+                out[x] += p
+        for _, j, pieces, q in by.get(at, ()):
+            walk(j, p * q, used + pieces)
+
+    walk(0, 1.0, [])
+    return {x: n / total for x, n in out.items()}
+
+
 def test_lattice_marginals_and_expectations():
     v = lattice_lm.pieces_of(vocabulary("piece_bpe_32k.model"))
     text = ["the", "internation", "é", "", "日x", "a" * 25]
@@ -281,17 +312,34 @@ def test_lattice_marginals_and_expectations():
     got = lat.marginals(v, v.start)
     assert got == pytest.approx([brute_marginal(v, v.start, w) for w in text])
     assert lat.sweep(v, v.start, back=True)[lat.node0] == pytest.approx(got)
-    # characters covered by expected pieces are the characters there are
+    ids = pieces_by_text()
+    for w in ("the", "é", "nation"):
+        want, found = brute_expected(v, v.start, w, ids), lattice_lm.Lattice(v, [w]).expected(v, v.start, np.array([2.0]))
+        assert {x: found[x] for x in np.flatnonzero(found)} == pytest.approx({x: 2 * n for x, n in want.items()})
     assert lattice_lm.Lattice(v, []).marginals(v, v.start).size == 0
 
 
-def test_lm_counts(spark, scratch):
+def test_lm_counts_and_scores(spark, scratch):
+    """Base columns by counting, and scores by a sum over all segmentations of each word, with pieces learned by the same rounds over all training words."""
     rows = documents(spark).select("doc_id", "text").collect()
-    got = {r["doc_id"]: r for r in lattice_lm.score_documents(documents(spark), scratch, vocabulary("piece_bpe_32k.model")).collect()}
+    path = vocabulary("piece_bpe_32k.model")
+    got = {r["doc_id"]: r for r in lattice_lm.score_documents(documents(spark), scratch, path).collect()}
     tokens = {r["doc_id"]: [*WORD.findall(low(r["text"])), None] for r in rows}
     counts = Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(counts.values()), len(counts)
+    p, ends = lattice_lm.pieces_of(path), counts[None]
+    trained = sorted((w for w in counts if w is not None), key=len)
+    score = p.start
+    for _ in range(2):
+        found = np.zeros(p.size)
+        for i, j in lattice_lm.batches_of(trained):
+            found += lattice_lm.Lattice(p, trained[i:j]).expected(p, score, np.array([counts[w] for w in trained[i:j]], float))
+        score = lattice_lm._shares(p, dict(enumerate(found)), ends)
+    ids = pieces_by_text()
+    marginal = {w: brute_marginal(p, score, w, ids) / math.log(10) for w in {w for i, t in tokens.items() if i % 5 == 0 for w in t if w}}
     for i, t in tokens.items():
+        if i % 5 == 0:
+            assert got[i]["score"] == pytest.approx(sum(marginal[w] for w in t if w is not None) + score[p.end] / math.log(10))
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), n)
         assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and got[i]["score"] < 0

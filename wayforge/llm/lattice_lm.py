@@ -1,22 +1,25 @@
 """Language-model scores: marginal likelihood of a text over all its segmentations into subwords.
 
 The pieces are those of an existing public vocabulary (a `word_begin` mark and pieces that never span
-white space, with byte pieces as fallback); their unigram probabilities start from scores by the vocabulary's
-order and are re-estimated by expectation maximisation on the distinct words of the training
-documents: each word weights all its segmentations (forward and backward recursions in log space) and
-gives expected piece counts. A word that training has seen is one more edge of its lattice, from its
-first node to its last: of c occurrences, c - D count for this edge, and the discounts of all words
-together weigh the segmentations into pieces. As no edge spans white space, the probability of a
-text is the product of the marginals of its words and of the end, so each distinct word is worked
-out once however often it occurs; all counts of words and pieces cover all training documents.
+white space, with byte pieces as fallback). Its scores come from the file (get_score). The public vocabulary at hand is
+of the merge kind, whose scores are orders of merges and no log-probabilities, so a piece with score s starts at the
+probability that its rank has in a Zipf law, in proportion to 1 / (10 - s). A documented learning step follows:
+rounds of expectation maximisation on the training documents, where each distinct word weights all its
+segmentations (forward and backward recursions in log space) and gives expected piece counts, times how often it occurs.
+
+The score of a text is the log-space forward recursion over all segmentations into pieces, and nothing else: no words, only
+pieces have probabilities. As no piece spans white space, the probability of a text is the product of the marginals
+of its words and of the end, so each distinct word is worked out once however often it occurs; all counts of words and
+pieces cover all training documents.
 
 Documents go in runs of bounded size; a run sends each of its distinct words once, with counts, and
 each document as counts of the run's words. Words meet by their text (combined before the shuffle),
 get their corpus count and log-probability, and go back to the runs that have them.
 
 Defined cases: a null text counts as empty: one end token; an empty table gives no rows; without any
-training text, the scores by order hold; very long words are worked out like others, in
-memory proportional to the word.
+training text, the starting scores hold; very long words are worked out like others, in
+memory proportional to the word; repeated rows and doc_ids are separate rows, ties there are none, and other columns are
+not read. Words are told apart by their text, within one run by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wayforge.llm.common import Scratch, crc32_mod
 from wayforge.llm.words import LOWER, hash_spans, spans, texts_of
@@ -57,9 +61,9 @@ class Pieces:
         key = np.array([_hash(np.array([ord(c) for c in s], np.uint32)) for s in text], np.uint64)
         order = np.argsort(key)
         self.key, self.id, self.longest = key[order], np.array(ids, np.int64)[order], int(size.max())
-        # The vocabulary's own order as scores: earlier merges are likelier.
-        rank = np.arange(self.size, dtype=np.float64)
-        self.start = -np.log(rank + 10.0)
+        # Scores of the vocabulary are orders of merges (0, -1, ..): each as the probability of its rank. Byte pieces have none, so they come last.
+        own = np.array([-float(self.size) if sp.is_byte(i) else sp.get_score(i) for i in range(self.size)])
+        self.start = -np.log(10.0 - np.minimum(own, 0.0))
         self.start -= np.log(np.exp(self.start).sum())
 
 
@@ -198,13 +202,12 @@ def batches_of(words: list[str], chars: int = 60_000):
         yield at, len(words)
 
 
-def _read(docs: DataFrame, kind: str):
+def _read(kind: str, id_type: pa.DataType):
     """Rows of three sorts from one pass over the texts.
 
     sort 0: a document: run, doc_id, held_out, n_tokens, idx and tf (its words as numbers within
     the run, and how often). sort 1: a word of a run: run, number, word, n (in training documents).
     """
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["sort", "run", "doc_id", "held_out", "n_tokens", "idx", "tf", "number", "word", "n"]
 
     def run(batches):
@@ -284,19 +287,18 @@ def score_documents(docs: DataFrame, scratch: Scratch, vocabulary: str, folds: i
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs."""
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (crc32_mod(F.col(doc_id), folds) == held).alias("held"))
-    run, schema = _read(body, body.schema["doc_id"].dataType.simpleString())
+    kind = body.schema["doc_id"].dataType.simpleString()
+    run, schema = _read(kind, to_arrow_type(body.schema["doc_id"].dataType))
     both = scratch.write(body.mapInArrow(run, schema), "runs")
     documents, used = both.where("sort = 0"), scratch.again(both).where("sort = 1").select("run", "number", "word", "n")
     words = scratch.write(used.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    seen = words.agg(F.sum("c"), *(F.sum((F.col("c") == n).cast("long")) for n in (1, 2)), F.sum((F.col("c") > 0).cast("long"))).first()
-    ends = documents.where("not held_out").count()
-    train_tokens, distinct = (seen[0] or 0) + ends, (seen[3] or 0) + (1 if ends else 0)
-    once, twice = seen[1] or 0, seen[2] or 0
-    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    score = _estimate(words.where("c > 0"), vocabulary, rounds)
+    seen = words.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
+    ends, runs = documents.agg(F.sum((~F.col("held_out")).cast("long")), F.countDistinct("run")).first()
+    ends = ends or 0
+    train_tokens, distinct = (seen[0] or 0) + ends, (seen[1] or 0) + (1 if ends else 0)
+    score = learned(words.where("c > 0"), vocabulary, rounds, ends)
     table = spark.sparkContext.broadcast(score)  # one number for each piece of the vocabulary
-    end = float(np.log10((ends - discount) / train_tokens)) if ends else float(score[pieces_of(vocabulary).end]) / np.log(10)
-    rest = discount * distinct / train_tokens if train_tokens else 1.0
+    end = float(score[pieces_of(vocabulary).end]) / np.log(10)
     floor = float(np.log10(float(train_tokens) + SMOOTH * (distinct + 1)))
 
     def marginal(batches):
@@ -307,11 +309,8 @@ def score_documents(docs: DataFrame, scratch: Scratch, vocabulary: str, folds: i
             order = sorted(range(len(w)), key=lambda i: len(w[i]))
             text = [w[i] for i in order]
             for i, j in batches_of(text):
-                out[order[i:j]] = Lattice(v, text[i:j]).marginals(v, table.value) + table.value[v.end]
-            c = b.column(1).to_numpy(zero_copy_only=False)
-            whole = np.where(c > 0, np.log(np.maximum(c - discount, 1e-9) / max(train_tokens, 1)), -np.inf)
-            out = np.logaddexp(whole, np.log(rest) + out) / np.log(10)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["word", "c", "lp"])
+                out[order[i:j]] = Lattice(v, text[i:j]).marginals(v, table.value)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out / np.log(10))], names=["word", "c", "lp"])
 
     known = words.mapInArrow(marginal, "word string, c long, lp double")
     found = used.select("run", "number", "word").join(known, "word").select("run", "number", "c", "lp")
@@ -333,35 +332,42 @@ def score_documents(docs: DataFrame, scratch: Scratch, vocabulary: str, folds: i
             "train_tokens": train_tokens, "base_score": r[:, 1] + e - left["n_tokens"].to_numpy() * floor, "score": r[:, 2] + end,
         })
 
-    kind = body.schema["doc_id"].dataType.simpleString()
-    return documents.select("run", "doc_id", "held_out", "n_tokens", "idx", "tf").groupBy("run").cogroup(found.groupBy("run")).applyInPandas(
+    # A run's rows are of bounded size; as many tasks as runs keep what a task reads bounded too.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), runs or 0)
+    left, right = documents.select("run", "doc_id", "held_out", "n_tokens", "idx", "tf").repartition(parts, "run"), found.repartition(parts, "run")
+    return left.groupBy("run").cogroup(right.groupBy("run")).applyInPandas(
         finish, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
-def _estimate(words: DataFrame, vocabulary: str, rounds: int) -> np.ndarray:
-    """Log-probabilities of the pieces after so many rounds of expectation maximisation."""
+def learned(words: DataFrame, vocabulary: str, rounds: int, ends: int) -> np.ndarray:
+    """Log-probabilities of the pieces after so many rounds of expectation maximisation over words (word, c): each
+    counts c times, and the end once for each of `ends` documents."""
     v = pieces_of(vocabulary)
     score = v.start.copy()
-    for _ in range(rounds):
+    for _ in range(rounds if ends else 0):
         table = words.sparkSession.sparkContext.broadcast(score)
 
         def expect(batches, table=table):
             v = pieces_of(vocabulary)
             total = np.zeros(v.size)
             for b in batches:
-                w = b.column(0).to_pylist()
+                w, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float)
                 order = sorted(range(len(w)), key=lambda i: len(w[i]))
-                text = [w[i] for i in order]
+                text, c = [w[i] for i in order], c[order]
                 for i, j in batches_of(text):
-                    total += Lattice(v, text[i:j]).expected(v, table.value, np.ones(j - i))
-                total[v.end] += j - i
+                    total += Lattice(v, text[i:j]).expected(v, table.value, c[i:j])
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "n"])
 
-        got = words.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-        count = np.full(v.size, 0.01)
-        for r in got:
-            count[r["piece"]] += r["n"]
-        score = np.log(count / count.sum())
+        got = words.select("word", "c").mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+        score = _shares(v, {r["piece"]: r["n"] for r in got}, ends)
     return score
+
+
+def _shares(v: Pieces, found: dict[int, float], ends: int) -> np.ndarray:
+    count = np.full(v.size, 0.01)
+    for piece, n in found.items():
+        count[piece] += n
+    count[v.end] += ends
+    return np.log(count / count.sum())
