@@ -194,7 +194,7 @@ def test_linking(spark, scratch):
     results = spark.createDataFrame([(1, "p", 5, "late"), (1, "p", 4, "first"), (1, "zz", 6, "lost"), (2, "s", 9, None)], RESULTS)
     rows = tool_calls.link(calls, results, TOOLS, scratch).collect()
     got = {(r["conv_id"], r["call_id"], r["seq"]): r for r in rows}
-    assert got[1, "p", 1]["level"] == 1 and got[1, "q", 2]["level"] == 0 and got[1, "p", 1]["n_results"] == 2
+    assert got[1, "p", 1]["level"] == 1 and got[2, "p", 1]["level"] is None and got[1, "q", 2]["level"] == 0 and got[1, "p", 1]["n_results"] == 2
     assert json.loads(got[1, "p", 1]["json"])["result"] == "first" and got[1, "p", 1]["json"].startswith('{"call":{"arguments":{"a":1,"b":["x"]},"id":"p"')
     assert got[1, "q", 2]["errors"] == "a: below minimum; z: unknown" and got[1, "q", 3]["errors"] == "identifier used before"
     assert got[1, "r", 4]["errors"] == "arguments: not JSON; unknown dependency; unknown tool"
@@ -205,6 +205,35 @@ def test_linking(spark, scratch):
     assert tool_calls.link(calls.limit(0), results.limit(0), TOOLS, scratch).count() == 0
 
 
+@pytest.mark.parametrize("group", [2, 1000])
+def test_levels_against_brute_force(spark, scratch, monkeypatch, group):
+    """Random dependencies in either direction, cycles too; by groups and by rounds."""
+    rng, edges = random.Random(6), set()
+    for conv in range(6):
+        edges |= {(conv, f"c{a}", f"c{b}") for a, b in ((rng.randrange(12), rng.randrange(12)) for _ in range(4 + 2 * conv))}
+    edges |= {(9, f"c{i}", f"c{i - 1}") for i in range(1, 8)}
+
+    def depth(conv, call, path=()):
+        if call in path:
+            return None
+        below = [depth(conv, d, (*path, call)) for c, a, d in edges if (c, a) == (conv, call)]
+        return None if None in below else max(below, default=-1) + 1
+
+    df = spark.createDataFrame(sorted(edges), "conv_id long, call_id string, dep string")
+    got = {(r["conv_id"], r["call_id"]): r["level"] for r in tool_calls.levels(df, scratch, group).collect()}
+    assert got == {(c, a): depth(c, a) for c, a, _ in edges}
+    assert got[9, "c7"] == 7 and None in got.values()
+
+
+def test_arguments_that_are_no_json(spark, scratch):
+    odd = ['{"a":1e999}', '{"a":NaN}', '{"a":-Infinity}', '{"a":"\\ud800"}', "[" * 100_000, '{"a":' * 50_000, "1" * 6000, "", "nul", None, '{"a":1}x', '{"a":1,"b":["\\ud83d\\ude00"]}', '{"a":1.5}', '{"a":true}']
+    calls = spark.createDataFrame([(1, f"c{i}", i, "add", x, None) for i, x in enumerate(odd)], CALLS)
+    rows = {r["seq"]: r for r in tool_calls.link(calls, spark.createDataFrame([], RESULTS), {"add": {"type": ["object", "null"], "properties": {"a": {"type": "number"}}}}, scratch).collect()}
+    assert all(rows[i]["errors"] == "arguments: not JSON" and json.loads(rows[i]["json"])["call"]["arguments"] is None for i in range(11))
+    assert rows[11]["valid"] and json.loads(rows[11]["json"])["call"]["arguments"] == {"a": 1, "b": ["😀"]} and rows[12]["valid"] and rows[13]["errors"] == "a: not number"
+    assert all(r["level"] == 0 for r in rows.values())
+
+
 def test_canonical_json():
     assert tool_calls.canonical({"b": [1, 2.5, None, True], "a": 'é"\n'}) == '{"a":"é\\"\\n","b":[1,2.5,null,true]}'
     with pytest.raises(ValueError):

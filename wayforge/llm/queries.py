@@ -23,16 +23,17 @@ REPLY_SCHEMA = {
 
 
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations hold no calls of their own, so each turn takes part in one: a user turn
-    calls `reply` (identifier conversation-turn, after the user turn two before), and an assistant
-    turn is the result of the turn before it."""
+    """The conversations hold no calls of their own, so each turn takes part in one: a user turn calls `reply`
+    (identifier conversation-turn), and an assistant turn is the result of the turn before it. Of each four turns the
+    calls of the first two wait for the call two turns later, and the others for the call four turns earlier, so that calls stand
+    before what they depend on and have to be ordered."""
     turns = table(spark, sf_dir, "conversations")
     name = lambda back: F.concat_ws("-", "conv_id", F.col("turn") - back)
-    text = F.col("text")
+    text, place = F.col("text"), F.pmod("turn", F.lit(4))
     calls = turns.where("role = 'user'").select(
         "conv_id", name(0).alias("call_id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"),
         F.to_json(F.struct(text.alias("prompt"), mixing.n_words(text).alias("words"))).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(name(2))).otherwise(F.array().cast("array<string>")).alias("after"),
+        F.when(place < 2, F.array(name(-2))).when(F.col("turn") >= 4, F.array(name(4))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
     results = turns.where("role = 'assistant'").select("conv_id", name(1).alias("call_id"), F.col("turn").alias("seq"), text.alias("content"))
     return tool_calls.link(calls, results, {"reply": REPLY_SCHEMA}, Scratch(spark, "op1"))
@@ -83,18 +84,20 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLE_SQL = {
     "op1_tool_calls": r"""
-with t as (select *, concat(conv_id, '-', turn) as id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null),
+with recursive t as (select *, case when turn % 4 < 2 then turn + 2 when turn >= 4 then turn - 4 end as dep, concat(conv_id, '-', turn) as id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words from conversations where conv_id is not null),
 calls as (select * from t where role = 'user'), results as (select *, concat(conv_id, '-', turn - 1) as call_id from t where role = 'assistant'),
 r as (select conv_id, call_id, min({'seq': turn, 'content': text}) as r, count(*) as n from results group by all),
 f as (select conv_id, id, min(turn) as first_seq from calls group by all),
+v(conv_id, id, level) as (select conv_id, id, 0::bigint from calls union all select c.conv_id, c.id, v.level + 1 from v join calls c on c.conv_id = v.conv_id and concat(c.conv_id, '-', c.dep) = v.id),
 j as (select c.conv_id, c.id, c.turn, c.text, c.words, r.r['content'] as content, coalesce(r.n, 0) as n,
-  c.turn >= 2 and not exists (select 1 from f where f.conv_id = c.conv_id and f.id = concat(c.conv_id, '-', c.turn - 2)) as lost
+  c.dep is not null and not exists (select 1 from f where f.conv_id = c.conv_id and f.id = concat(c.conv_id, '-', c.dep)) as lost,
+  (select max(level) from v where v.conv_id = c.conv_id and v.id = c.id) as level
  from calls c left join r on r.conv_id = c.conv_id and r.call_id = c.id),
 e as (select *, list_sort(list_filter([
   case when text is null then 'prompt: missing' when length(text) < 1 then 'prompt: too short' when length(text) > 400 then 'prompt: too long' end,
   case when lost then 'unknown dependency' end,
   case when coalesce(words, 0) < 1 then 'words: below minimum' when words > 40 then 'words: above maximum' end], lambda x: x is not null)) as errors from j)
-select 'call' as kind, conv_id, id as call_id, turn as seq, 0::bigint as level, n > 0 as linked, n as n_results, len(errors) = 0 as valid, array_to_string(errors, '; ') as errors,
+select 'call' as kind, conv_id, id as call_id, turn as seq, level, n > 0 as linked, n as n_results, len(errors) = 0 as valid, array_to_string(errors, '; ') as errors,
  concat('{"call":{"arguments":{', case when text is not null then concat('"prompt":', to_json(text), ',') else '' end, '"words":', coalesce(words, 0), '},"id":', to_json(id), ',"name":"reply"},"result":', coalesce(to_json(content)::varchar, 'null'), '}') as json
 from e
 union all

@@ -2,18 +2,22 @@
 
 Calls and results are joined by (conversation, identifier); of calls that share an identifier the first
 by seq is the call and the rest are errors, of results the first is linked and the rest are counted. Calls are ordered
-topologically by (level, seq): where every dependency stands earlier in its conversation, seq is
-such an order and all levels are 0; only conversations with a dependency that stands later are
-peeled round by round, calls without open dependencies first, and what is left at the end is in or behind a cycle
-(level null, an error). Arguments are parsed and validated against the schema of their tool, and each
-call with its result is one line of canonical JSON: keys sorted, no spaces, UTF-8 as it is.
+topologically by (level, seq): a call's level is 0 without dependencies, else one more than the highest of its
+dependencies, wherever these stand in the conversation; what lies on a cycle or behind one has level null, an error. Arguments
+are parsed and validated against the schema of their tool, and each call with its result is one line of canonical JSON:
+keys sorted, no spaces, UTF-8 as it is.
 
-All of it is equi-joins and pre-aggregated minima, so a conversation of any length, or an identifier
-that many rows share, needs no group in one task.
+Links are equi-joins and pre-aggregated minima, so a conversation of any length, or an identifier
+that many rows share, needs no group in one task. Levels of conversations with at most GROUP dependencies are worked out
+in groups of many conversations; longer ones are peeled round by round over all tasks, as many rounds as the
+longest chain has calls, each a table of its own. Both give the same levels.
 
 Defined cases: calls without conversation or identifier are kept as errors ("no id"), never joined;
-null or broken arguments are errors; results that no call asked for are rows of kind "orphan"; rows
-that repeat are duplicates; empty tables give no rows.
+arguments that are null, broken, nested deeper than the parser goes, or hold what UTF-8 JSON cannot (NaN, infinities, numbers
+beyond double range, lone surrogates) are errors ("arguments: not JSON") and are null in the line; very long arguments
+and contents are taken whole; a dependency that isn't a call of the conversation is an error and doesn't
+count for levels; results that no call asked for are rows of kind "orphan"; rows that repeat are duplicates, and calls that
+tie by seq share what they depend on; columns other than those named are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from wayforge.llm.common import Scratch
 
 TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+#: Dependencies of a conversation up to which its calls are ordered within one group of conversations.
+GROUP = 20_000
 
 
 def canonical(value) -> str:
@@ -34,15 +40,39 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _no_number(text: str):
+    raise ValueError(text)
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    return _no_number(text) if x in (float("inf"), float("-inf")) else x
+
+
+def parsed(text: str):
+    """(value, canonical text) of JSON that can be written back as UTF-8 JSON; ValueError or RecursionError else."""
+    value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+    line = canonical(value)
+    line.encode()
+    return value, line
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or isinstance(value, int) or value == int(value))
+    return isinstance(value, TYPES[kind])
+
+
 def violations(value, schema: dict, at: str = "") -> list[str]:
-    """Where a value breaks a schema: type, enum, required, properties, additionalProperties, items,
+    """Where a value breaks a schema: type (a name or a list of names), enum, required, properties, additionalProperties, items,
     minimum, maximum, minLength and maxLength."""
     kind, here = schema.get("type"), at or "arguments"
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    fits = kind is None or (number and (kind == "number" or isinstance(value, int) or value == int(value)) if kind in ("number", "integer") else isinstance(value, TYPES[kind]))
-    if not fits:
-        return [f"{here}: not {kind}"]
-    out = [f"{here}: not in enum"] if "enum" in schema and value not in schema["enum"] else []
+    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
+    number = _is(value, "number")
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{here}: not {' or '.join(kinds)}"]
+    out = [f"{here}: not in enum"] if "enum" in schema and canonical(value) not in {canonical(x) for x in schema["enum"]} else []
     if number:
         out += [f"{here}: below minimum"] if value < schema.get("minimum", value) else []
         out += [f"{here}: above maximum"] if value > schema.get("maximum", value) else []
@@ -63,28 +93,56 @@ def violations(value, schema: dict, at: str = "") -> list[str]:
     return out
 
 
-def levels(calls: DataFrame, deps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(conv_id, call_id, level) of calls in conversations that have a dependency standing later."""
-    target = calls.select("conv_id", F.col("call_id").alias("dep"), F.col("seq").alias("dep_seq"))
-    real = deps.join(target, ["conv_id", "dep"])
-    late = scratch.write(real.where("dep_seq >= seq").select("conv_id").distinct(), "late")
-    schema = calls.select("conv_id", "call_id", F.lit(0).cast("long").alias("level")).schema
-    if late.isEmpty():
-        return calls.sparkSession.createDataFrame([], schema)
-    open_calls = scratch.write(calls.join(late, "conv_id", "left_semi").select("conv_id", "call_id"), "open")
-    edges = scratch.write(real.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep"), "edges")
-    done, level = None, 0
+def _levels_of(edges) -> dict:
+    """Level of each call that depends on another: edges are (call, dep); None on a cycle or behind one."""
+    waits, after, level = {}, {}, {}
+    for call, dep in edges:
+        waits[call] = waits.get(call, 0) + 1
+        after.setdefault(dep, []).append(call)
+    ready = [(dep, 0) for dep in after if dep not in waits]
+    for dep, n in ready:  # grows while it is read; a call comes after all it waits for, so its level is final
+        for call in after.get(dep, ()):
+            level[call] = max(level.get(call, 0), n + 1)
+            waits[call] -= 1
+            if not waits[call]:
+                ready.append((call, level[call]))
+    return {call: level[call] if not n else None for call, n in waits.items()}
+
+
+def levels(edges: DataFrame, scratch: Scratch, group: int = GROUP) -> DataFrame:
+    """(conv_id, call_id, level) of calls that depend on others. edges: conv_id, call_id, dep, distinct, all ends known."""
+    edges = scratch.write(edges, "edges")
+    sizes = scratch.write(edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("edges")), "sizes")
+    all_edges, most = sizes.agg(F.sum("edges"), F.max("edges")).first()
+    schema = edges.select("conv_id", "call_id", F.lit(None).cast("long").alias("level")).schema
+    large = sizes.where(F.col("edges") > group).select("conv_id")
+    small = edges if (most or 0) <= group else edges.join(large, "conv_id", "left_anti")
+    buckets = 1 + (all_edges or 0) // group
+
+    def order(p):
+        found = _levels_of(zip(zip(p["conv_id"], p["call_id"], strict=True), zip(p["conv_id"], p["dep"], strict=True), strict=True))
+        return pd.DataFrame({"conv_id": [k[0] for k in found], "call_id": [k[1] for k in found], "level": pd.array(list(found.values()), dtype="Int64")})
+
+    out = small.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(buckets))).groupBy("bucket").applyInPandas(order, schema)
+    return out if (most or 0) <= group else out.unionByName(_peeled(edges.join(large, "conv_id", "left_semi"), scratch))
+
+
+def _peeled(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """levels of conversations of any size: in each round the calls go that wait for no call that waits."""
+    key, n, done = ["conv_id", "call_id"], 0, []
+    left = scratch.write(edges, "left")
     while True:
-        ready = scratch.write(open_calls.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "ready")
-        if ready.isEmpty():
+        waiting = scratch.again(left).select("conv_id", F.col("call_id").alias("dep")).distinct()
+        rest = scratch.write(left.join(waiting, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), "left")
+        n += 1
+        gone = scratch.again(left).select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti")
+        done.append(scratch.write(gone.withColumn("level", F.lit(n).cast("long")), "done"))
+        scratch.drop(left)
+        left = rest
+        if done[-1].isEmpty():
             break
-        done = ready if done is None else done.unionByName(ready)
-        gone = ready.select("conv_id", "call_id")
-        open_calls = scratch.write(open_calls.join(gone, ["conv_id", "call_id"], "left_anti"), "open")
-        edges = scratch.write(edges.join(gone.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_anti"), "edges")
-        level += 1
-    cyclic = open_calls.withColumn("level", F.lit(None).cast("long"))
-    return cyclic if done is None else done.unionByName(cyclic)
+    levels = edges.sparkSession.read.schema(done[0].schema).parquet(*(d._scratch_path for d in done))  # one scan, however many rounds
+    return levels.unionByName(left.select(*key).distinct().withColumn("level", F.lit(None).cast("long")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], scratch: Scratch) -> DataFrame:
@@ -99,16 +157,17 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], scratch:
     answers = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("seq", "content")).alias("r"), F.count(F.lit(1)).alias("n_results")
     )
-    deps = named.select("conv_id", "call_id", "seq", F.explode("after").alias("dep")).where("dep is not null")
+    first = named.join(firsts.select("conv_id", "call_id", F.col("first_seq").alias("seq")), ["conv_id", "call_id", "seq"], "left_semi")
+    deps = first.select("conv_id", "call_id", F.explode("after").alias("dep")).where("dep is not null").distinct()
     known = firsts.select("conv_id", F.col("call_id").alias("dep"))
     missing = deps.join(known, ["conv_id", "dep"], "left_anti").groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("unknown"))
-    level = levels(named.join(firsts.select("conv_id", "call_id", F.col("first_seq").alias("seq")), ["conv_id", "call_id", "seq"], "left_semi"), deps, scratch).withColumn("peeled", F.lit(True))
+    level = levels(deps.join(known, ["conv_id", "dep"], "left_semi").select("conv_id", "call_id", "dep"), scratch).withColumn("waits", F.lit(True))
     key = ["conv_id", "call_id"]
     joined = (
         calls.join(firsts, key, "left").join(answers, key, "left").join(missing, key, "left").join(level, key, "left")
         .select(
             "conv_id", "call_id", "seq", "name", "arguments", F.col("r.content").alias("content"), F.coalesce("n_results", F.lit(0)).alias("n_results"),
-            F.when(F.col("peeled"), F.col("level")).otherwise(F.lit(0)).cast("long").alias("level"),
+            F.when(F.col("waits"), F.col("level")).otherwise(F.lit(0)).cast("long").alias("level"),
             F.coalesce(F.col("first_seq") < F.col("seq"), F.lit(False)).alias("again"), (F.coalesce("unknown", F.lit(0)) > 0).alias("lost"),
         )
     )
@@ -117,7 +176,7 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], scratch:
         for p in batches:
             errors, lines = [], []
             for r in p.itertuples(index=False):
-                e, args = [], None
+                e, line = [], "null"
                 if pd.isna(r.conv_id) or pd.isna(r.call_id):
                     e.append("no id")
                 if r.again:
@@ -129,13 +188,13 @@ def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], scratch:
                 if r.name not in tools:
                     e.append("unknown tool")
                 try:
-                    args = json.loads(r.arguments)
+                    args, line = parsed(r.arguments)
                     e += violations(args, tools[r.name]) if r.name in tools else []
-                except (TypeError, ValueError):
-                    e.append("arguments: not JSON")
+                except (TypeError, ValueError, RecursionError):
+                    e, line = [*e, "arguments: not JSON"], "null"
                 errors.append("; ".join(sorted(e)))
-                call = {"id": r.call_id if isinstance(r.call_id, str) else None, "name": r.name if isinstance(r.name, str) else None, "arguments": args}
-                lines.append(canonical({"call": call, "result": r.content if isinstance(r.content, str) and not r.again else None}))
+                one, result = lambda x: canonical(x if isinstance(x, str) else None), r.content if isinstance(r.content, str) and not r.again else None
+                lines.append(f'{{"call":{{"arguments":{line},"id":{one(r.call_id)},"name":{one(r.name)}}},"result":{one(result)}}}')
             yield pd.DataFrame({
                 "kind": "call", "conv_id": p["conv_id"], "call_id": p["call_id"], "seq": p["seq"], "level": p["level"], "linked": (p["n_results"] > 0) & ~p["again"], "n_results": p["n_results"],
                 "valid": [not x for x in errors], "errors": errors, "json": lines,
