@@ -262,6 +262,44 @@ def test_search_recall_and_scores(spark, scratch):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("block", [50, 20_000])
+def test_equal_vectors_tie_across_blocks(spark, scratch, monkeypatch, block):
+    """Scores depend on the two vectors alone, and ties go to smaller ids, in whatever blocks the vectors stand."""
+    monkeypatch.setattr(multi_index, "BLOCK", block)
+    monkeypatch.setattr(multi_index, "QUERIES", 7)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(150, 64)), 4, axis=0)[rng.permutation(600)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], "clash") for i, r in enumerate(x)], "vec_id long, embedding array<double>, row string")
+    got, vec = {}, {i: tuple(r) for i, r in enumerate(x)}
+    for r in multi_index.search(df, scratch, recall=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q, rows in got.items():
+        rows.sort()
+        same = {}
+        for _, v, s in rows:
+            same.setdefault(vec[v], []).append((s, v))
+        assert all(len({s for s, _ in e}) == 1 and [v for _, v in e] == sorted(v for _, v in e) for e in same.values())
+        exact = sorted((-float(np.cumsum(x[q] * x[j])[-1]), j) for j in range(600) if j != q)[:20]
+        hit += len({v for _, v, _ in rows} & {j for _, j in exact})
+    assert len(got) == 30 and hit >= 0.95 * 600
+
+
+def test_recall_on_embeddings(spark, scratch):
+    df = spark.read.parquet(SF.replace("sf0.001", "sf0.1") + "/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.select("vec_id", "embedding").collect() if r["embedding"])
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got = {}
+    for r in multi_index.search(df, scratch).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q in got:
+        s = x @ x[np.searchsorted(ids, q)]
+        s[ids == q] = -np.inf
+        hit += len(got[q] & set(ids[np.argsort(-s)[:20]]))
+    assert len(got) == sum(i % 20 == 0 for i in ids) and hit >= 0.9 * 20 * len(got)
+
+
 def test_search_odd_vectors(spark, scratch):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(60)] + [(100, None), (120, [0.0, 0.0]), (140, [nan, 1.0]), (160, [inf, 1.0]), (180, [None, 1.0]), (200, [1.0]), (None, [1.0, 1.0]), (220, [3.0, 2.0]), (220, [3.0, 2.0])]

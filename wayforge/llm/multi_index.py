@@ -9,14 +9,17 @@ How many are enough is measured on the fitting sample against brute force, for a
 
 Every row that takes part is in the index. Of exactly equal vectors only the k + 1 with the smallest ids can be
 among anyone's k nearest (ties go to smaller ids), so only these are entries. Entries and queries
-meet in blocks of cells, of a bounded number of entries and of queries each; a query goes only to blocks
-that hold a cell it visits.
+meet in blocks of neighbouring cells, of a bounded number of entries and of queries each. A query goes only to blocks
+that hold a cell it visits, with a bit for each cell of that block, and is multiplied with the entries of its cells alone.
+The scores of what is nearest in a block are then summed again in the order of the components, so they depend on the two
+vectors only and equal vectors tie wherever they stand.
 
 Bounds on the driver: two codebooks and a count for each cell, at most MOST_CENTROIDS squared.
 
 Defined cases: vectors that are null, zero, of another length than the commonest, or hold null or
 non-finite components take no part, nor do rows without an id; fewer than k candidates give all of
-them; an empty table gives no rows. Rows that share a vec_id are one another's "own" row.
+them; an empty table gives no rows. Rows that share a vec_id are rows of their own: each is a candidate for the other, and
+each query row has its own list, under the same query_id. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from wayforge.llm.common import Scratch
 
-MOST_CENTROIDS, SAMPLE, BLOCK = 1024, 20_000, 20_000
+MOST_CENTROIDS, SAMPLE, BLOCK, QUERIES = 1024, 20_000, 20_000, 5_000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -98,8 +101,8 @@ def enough_for(sample: np.ndarray, c1: np.ndarray, c2: np.ndarray, half: int, k:
     return float(np.quantile(np.take_along_axis(place, top, 1), recall)) / len(sample)
 
 
-def blocks_of(count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Cells in blocks of about `most` entries: first block and number of blocks of each cell."""
+def blocks_of(count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells in blocks of about `most` entries: first block and number of blocks of each cell, and first cell and number of cells of each block."""
     first, parts = np.zeros(count.size, np.int64), np.ones(count.size, np.int64)
     at, size = 0, 0
     for i, n in enumerate(count.ravel().tolist()):
@@ -112,15 +115,19 @@ def blocks_of(count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, int
             at, size = at + 1, 0
         first[i] = at
         size += n
-    return first, parts, int(at) + 1
+    cells = np.zeros((int(max(at, (first + parts - 1).max(initial=0))) + 1, 2), np.int64)
+    for b in range(len(cells)):
+        lo, hi = np.searchsorted(first, b, "left"), np.searchsorted(first, b, "right")
+        cells[b] = (lo, hi - lo) if hi > lo else (cells[b - 1][0] + cells[b - 1][1] - 1, 1)  # a cell of several blocks
+    return first, parts, cells
 
 
 def search(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = 20, recall: float = 0.96, sample: int = SAMPLE, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, its k nearest."""
     spark = vectors.sparkSession
-    rows = scratch.write(usable(vectors), "vectors")
+    rows = scratch.write(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    few = W.partitionBy("v").orderBy("vec_id")
+    few = W.partitionBy("v").orderBy("vec_id", "row")
     entries = scratch.again(rows).withColumn("__r", F.row_number().over(few)).where(f"__r <= {k + 1}").drop("__r")
     n = rows.count()
     if not n:
@@ -138,58 +145,62 @@ def search(vectors: DataFrame, scratch: Scratch, every: int = 20, k: int = 20, r
             p["cell"] = (assign(v[:, :half], c1) * len(c2) + assign(v[:, half:], c2)).astype(np.int32)
             yield p
 
-    indexed = scratch.write(entries.mapInPandas(code, "vec_id long, v array<double>, cell int"), "entries")
+    indexed = scratch.write(entries.mapInPandas(code, "vec_id long, v array<double>, row long, cell int"), "entries")
     count = np.zeros(len(c1) * len(c2), np.int64)
     for r in indexed.groupBy("cell").count().collect():  # at most a number for each cell
         count[r["cell"]] = r["count"]
-    first, parts, _ = blocks_of(count, BLOCK)
+    first, parts, cells = blocks_of(count, BLOCK)
     total = int(count.sum())
     enough = min(total, max(50 * k, int(np.ceil(share * total))))
-    q_parts = int(max(1, -(-queries.count() // BLOCK)))
-    plan = spark.sparkContext.broadcast((count.reshape(len(c1), len(c2)), first, parts))
+    q_parts = int(max(1, -(-queries.count() // QUERIES)))
+    plan = spark.sparkContext.broadcast((count.reshape(len(c1), len(c2)), first, parts, cells))
 
     def go(batches):
-        count, first, parts = plan.value
+        count, first, parts, cells = plan.value
         for p in batches:
             out = []
-            for q, v in zip(p["vec_id"], p["v"], strict=True):
+            for q, row, v in zip(p["vec_id"], p["row"], p["v"], strict=True):
                 v = np.asarray(v)
-                cells = np.array([a * len(c2) + b for a, b in walk(-(c1 @ v[:half]), -(c2 @ v[half:]), count, enough)])
-                seen = np.zeros(count.size, bool)
-                seen[cells] = True
-                bits = np.packbits(seen).tobytes()
-                to = np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in cells[parts[cells] > 1]] + [first[cells]]))
-                out += [(int(b), q // every % q_parts, q, v, bits) for b in to]
-            yield pd.DataFrame(out, columns=["block", "p", "query_id", "q", "cells"])
+                seen = np.array([a * len(c2) + b for a, b in walk(-(c1 @ v[:half]), -(c2 @ v[half:]), count, enough)])
+                seen.sort()
+                to, at = np.unique(first[seen], return_index=True)
+                for b, some in zip(to, np.split(seen, at[1:]), strict=True):
+                    bits = np.zeros(cells[b, 1], bool)
+                    bits[some - cells[b, 0]] = True
+                    bits = np.packbits(bits).tobytes()
+                    out += [(int(b + j), row // 31 % q_parts, q, row, v, bits) for j in range(parts[some[0]] if len(some) == 1 else 1)]
+            yield pd.DataFrame(out, columns=["block", "p", "query_id", "query_row", "q", "cells"])
 
     def deal(batches):
-        _, first, parts = plan.value
+        _, first, parts, cells = plan.value
         for p in batches:
-            cell, ids = p["cell"].to_numpy(), p["vec_id"].to_numpy()
-            p["block"] = first[cell] + (ids * 0x9E3779B1 >> 7) % parts[cell]
+            cell, row = p["cell"].to_numpy(), p["row"].to_numpy()
+            p["block"] = first[cell] + (row * 0x9E3779B1 >> 7) % parts[cell]
+            p["cell"] = cell - cells[p["block"].to_numpy(), 0]
             for part in range(q_parts):
                 p["p"] = part
-                yield p[["block", "p", "vec_id", "v", "cell"]]
+                yield p[["block", "p", "vec_id", "row", "v", "cell"]]
 
-    asked = queries.mapInPandas(go, "block long, p long, query_id long, q array<double>, cells binary")
-    dealt = indexed.mapInPandas(deal, "block long, p long, vec_id long, v array<double>, cell int")
+    asked = queries.mapInPandas(go, "block long, p long, query_id long, query_row long, q array<double>, cells binary")
+    dealt = indexed.mapInPandas(deal, "block long, p long, vec_id long, row long, v array<double>, cell long")
 
     def rerank(left, right):
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        found = []
         if len(left) and len(right):
-            ids, v, cell = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), right["cell"].to_numpy()
-            for at in range(0, len(left), 128):
-                part = left.iloc[at : at + 128]
-                q = part["query_id"].to_numpy()
-                s = np.stack(part["q"].to_numpy()) @ v.T
-                seen = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in part["cells"]]), axis=1)[:, cell]
-                s[(seen == 0) | (q[:, None] == ids[None, :])] = -np.inf
-                if s.shape[1] > k:
-                    s[s < np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]] = -np.inf
-                r, c = np.nonzero(s > -np.inf)
-                found.append((q[r], ids[c], s[r, c]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    best = asked.groupBy("block", "p").cogroup(dealt.groupBy("block", "p")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            ids, row, v, cell = right["vec_id"].to_numpy(), right["row"].to_numpy(), np.stack(right["v"].to_numpy()), right["cell"].to_numpy()
+            for q, own, x, bits in zip(left["query_id"], left["query_row"], left["q"], left["cells"], strict=True):
+                seen = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+                at = np.flatnonzero(seen[cell] & (row != own))
+                s = v[at] @ x
+                if len(s) > k:
+                    # Whatever rounding may have put below the last of k is scored again too.
+                    at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9 * (1 + np.abs(s).max())]
+                s = np.cumsum(v[at] * x, axis=1)[:, -1] if len(at) else np.zeros(0)
+                best = np.lexsort((ids[at], -s))[:k]
+                found.append((np.full(len(best), q), np.full(len(best), own), ids[at][best], s[best]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "query_row", "vec_id", "score"), cols, strict=True)))
+
+    best = asked.groupBy("block", "p").cogroup(dealt.groupBy("block", "p")).applyInPandas(rerank, "query_id long, query_row long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
