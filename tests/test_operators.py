@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wayforge.functions import geo, tags
 from wayforge.operators import graph, matching, spatial
 
 c = F.col
@@ -114,3 +115,42 @@ def test_covered_share(spark):
     roads = spark.createDataFrame([([(0.0, 1e-5), (5e-4, 1e-5)],), ([(2.5e-4, 0.0), (6e-4, 0.0)],)], "line array<struct<x:double,y:double>>")
     got = {r["id"]: r["covered"] / r["length"] for r in spatial.covered_share(lines, roads, 7e-5).collect()}
     assert got == {1: pytest.approx(0.6), 2: 0.0}
+
+
+def ring_edges(spark, n, cost):
+    return spark.createDataFrame([(k, k, (k + 1) % n, cost) for k in range(n)], "way_id long, a long, b long, cost double")
+
+
+def test_loops_of_many_ways(spark):
+    """A ring of 80 ways is walked to its end in both directions."""
+    got = graph.closed_loops(ring_edges(spark, 80, 0.5), spark.createDataFrame([(0,)], "node long"), 200.0).collect()
+    assert sorted(r["path"] for r in got) == [list(range(80)), list(range(79, -1, -1))] and all(r["cost"] == 40 for r in got)
+
+
+def test_pruned_loops_are_the_same(spark):
+    rng = random.Random(2)
+    at = {k: (k % 6 * 4e-4, k // 6 * 3e-4) for k in range(30)}
+    links = [(k, k + 1) for k in range(29) if k % 6 < 5] + [(k, k + 6) for k in range(24)] + [(k, k + 7) for k in range(22) if k % 6 < 5 and rng.random() < 0.5]
+    nodes = spark.createDataFrame([(k, x, y) for k, (x, y) in at.items()], "node long, lon double, lat double")
+    edges = spark.createDataFrame([(i, a, b, *at[a], *at[b]) for i, (a, b) in enumerate(links)], "way_id long, a long, b long, x1 double, y1 double, x2 double, y2 double")
+    edges = edges.select("way_id", "a", "b", geo.geodesic(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("cost"))
+    whole, pruned = (sorted((r["start"], r["path"]) for r in graph.closed_loops(edges, nodes.select("node"), 200.0, x).collect()) for x in (None, nodes))
+    assert whole == pruned and len(whole) > 50
+
+
+def test_rounds_go_to_the_end(spark):
+    """Reachability over a chain of more than 64 ways, and flooding to where nothing new is reached."""
+    chain = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(66)], "way_id long, src long, dst long, cost double")
+    seeds = spark.createDataFrame([(0, 0, 100.0)], "seed long, node long, left double")
+    assert graph.reach(chain, seeds).where("node = 66 and left = 34").count() == 1
+    text = chain.where("way_id < 9").select(F.col("way_id").cast("string").alias("way_id"), "src", "dst")
+    stop = spark.createDataFrame([], "node long")
+    assert graph.flood(text, seeds.select("seed", "node"), stop).count() == 9
+    none = graph.flood(text, seeds.select("seed", "node").limit(0), stop)
+    assert none.count() == 0 and none.schema["way_id"].dataType.simpleString() == "string"
+
+
+def test_repeated_keys_of_map_text(spark):
+    text = spark.createDataFrame([("{a=1, b=2, a=3, oneway=yes, oneway=no}",), ("{}",), (None,)], "t string")
+    got = [r["m"] for r in text.select(tags.parse_map_text(F.col("t")).alias("m")).collect()]
+    assert got[0] == {"a": "3", "b": "2", "oneway": "no"} and got[1] == {"oneway": "no"}

@@ -108,8 +108,18 @@ def nearest_on(line: Column, px: Column, py: Column) -> Column:
     return F.array_min(each)
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is worked out once: as a lambda's argument, and not wherever body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def distance_to(segs: Column, px: Column, py: Column) -> Column:
+    """Least distance of a point to segments (pairs of a line)."""
+    return F.array_min(F.transform(segs, lambda s: segment_distance(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
+
+
 def point_line_distance(line: Column, px: Column, py: Column) -> Column:
-    return nearest_on(line, px, py)["d"]
+    return distance_to(pairs(line), px, py)
 
 
 def project_on(line: Column, px: Column, py: Column) -> Column:
@@ -124,7 +134,6 @@ def interpolate(line: Column, at: Column, normalized: bool = False) -> Column:
     """Point at a length (or share of it) along the line, clamped to its ends."""
     total = planar_length(line)
     want = F.least(F.greatest(at * total if normalized else at, F.lit(0.0)), total)
-    start = F.struct(F.lit(0.0).alias("left"), F.lit(False).alias("found"), F.element_at(line, 1).alias("p"))
     start = F.struct(want.alias("left"), F.lit(False).alias("found"), F.element_at(line, 1).alias("p"))
 
     def step(acc, s):
@@ -138,18 +147,28 @@ def interpolate(line: Column, at: Column, normalized: bool = False) -> Column:
 
 def line_distance(a: Column, b: Column) -> Column:
     """Least distance of two lines: 0 where segments cross, else the least end-to-segment distance."""
-    ends = F.array_min(F.concat(F.transform(a, lambda p: point_line_distance(b, p["x"], p["y"])), F.transform(b, lambda p: point_line_distance(a, p["x"], p["y"]))))
     side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
-    cross = F.exists(pairs(a), lambda s: F.exists(pairs(b), lambda t: (side(s, t["a"]) * side(s, t["b"]) < 0) & (side(t, s["a"]) * side(t, s["b"]) < 0)))
-    return F.when(cross, 0.0).otherwise(ends)
+
+    def of(s):
+        u, v = s["u"], s["v"]
+        cross = F.exists(u, lambda s: F.exists(v, lambda t: (side(s, t["a"]) * side(s, t["b"]) < 0) & (side(t, s["a"]) * side(t, s["b"]) < 0)))
+        ends = F.least(F.array_min(F.transform(a, lambda p: distance_to(v, p["x"], p["y"]))), F.array_min(F.transform(b, lambda p: distance_to(u, p["x"], p["y"]))))
+        return F.when(cross, 0.0).otherwise(ends)
+
+    return bound(F.struct(pairs(a).alias("u"), pairs(b).alias("v")), of)
 
 
 def hausdorff(a: Column, b: Column) -> Column:
     """Vertices of each line against the other line, the larger of both directions."""
-    one = lambda u, v: F.array_max(F.transform(u, lambda p: point_line_distance(v, p["x"], p["y"])))
+    one = lambda u, v: bound(pairs(v), lambda segs: F.array_max(F.transform(u, lambda p: distance_to(segs, p["x"], p["y"]))))
     return F.greatest(one(a, b), one(b, a))
 
 
+def share_within(points: Column, line: Column, reach: float) -> Column:
+    """Share of points within reach of a line."""
+    return bound(F.struct(points.alias("p"), pairs(line).alias("s")), lambda x: F.size(F.filter(x["p"], lambda p: distance_to(x["s"], p["x"], p["y"]) <= reach)) / F.size(x["p"]))
+
+
 def sample_points(line: Column) -> Column:
     """All vertices; of lines over 50 m also points at shares k/n, n = max(3, length / 25)."""
     length = planar_length(line)

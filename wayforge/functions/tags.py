@@ -24,11 +24,13 @@ ARROWS = {
 
 def parse_map_text(text: Column) -> Column:
     """`{k=v, k2=v2}` to a map: pieces that are not one key and one non-empty value are skipped, a
-    deleted value reads 0, and oneway defaults to no."""
+    deleted value reads 0, of a repeated key the last counts, and oneway defaults to no."""
     parts = F.transform(F.split(F.regexp_replace(text, r"^\{+|\}+$", ""), ", "), lambda s: F.split(s, "="))
     good = F.filter(parts, lambda p: (F.size(p) == 2) & (F.element_at(p, 2) != ""))
     entries = F.transform(good, lambda p: F.struct(F.element_at(p, 1).alias("key"), F.when(F.element_at(p, 2) == "[DELETED]", "0").otherwise(F.element_at(p, 2)).alias("value")))
-    m = F.map_from_entries(entries)
+    # Bound as a lambda's argument, or the entries would be worked out anew for each of them.
+    last = F.element_at(F.transform(F.array(entries), lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))), 1)
+    m = F.map_from_entries(last)
     return F.when(F.map_contains_key(m, "oneway"), m).otherwise(F.map_concat(m, F.create_map(F.lit("oneway"), F.lit("no"))))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayforge.functions import geo
 from wayforge.operators.rounds import Rounds
 
 
@@ -32,102 +33,109 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("way_id", F.col("a").alias("src"), F.col("b").alias("dst"), "cost").unionByName(back)
 
 
-def closed_loops(edges: DataFrame, starts: DataFrame, budget: float, max_steps: int = 64) -> DataFrame:
+def closed_loops(edges: DataFrame, starts: DataFrame, budget: float, at: DataFrame | None = None) -> DataFrame:
     """(start, path, cost): loops from each start node that use no way twice and cost at most budget.
 
-    edges: way_id, a, b, cost; starts: node. Paths grow by one way a round, joined on their last node;
+    edges: way_id, a, b, cost; starts: node. Paths grow by one way a round, joined on their last node, as long as any can;
     a path that is back at its start is emitted and not grown. Every rotation and direction that begins at a start is emitted.
+    at: node, lon, lat; with it, paths go that are farther from their start than what is left of the budget, where no cost is
+    below the straight distance of its ends.
     """
     rounds = Rounds(edges.sparkSession, "loops")
-    step = rounds.keep(both_directions(edges))
-    first = starts.select(F.col("node").alias("src")).distinct().join(step, "src").where(F.col("cost") <= budget)
-    paths = rounds.keep(first.select(F.col("src").alias("start"), F.col("dst").alias("cur"), F.array("way_id").alias("path"), "cost"))
-    found = [paths]
-    for _ in range(max_steps):
-        open_paths = paths.where("cur <> start").alias("p")
-        e = rounds.again(step).alias("e")
-        grown = open_paths.join(e, F.col("p.cur") == F.col("e.src")).where(
-            (F.col("p.cost") + F.col("e.cost") <= budget) & ~F.expr("array_contains(p.path, e.way_id)")
-        ).select("p.start", F.col("e.dst").alias("cur"), F.expr("array_append(p.path, e.way_id)").alias("path"), (F.col("p.cost") + F.col("e.cost")).alias("cost"))
-        paths = rounds.keep(grown)
-        if paths.isEmpty():
-            break
-        found.append(paths)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.where("cur = start").select("start", "path", "cost")
-
-
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+    step = both_directions(edges)
+    if at is not None:
+        step = step.join(at.select(F.col("node").alias("dst"), F.col("lon").alias("x"), F.col("lat").alias("y")), "dst")
+        starts = starts.select("node").distinct().join(at.select("node", F.col("lon").alias("x0"), F.col("lat").alias("y0")), "node")
+    place = [] if at is None else ["x0", "y0"]
+    # A thousandth is left for the error of short-range distances.
+    near = F.lit(True) if at is None else F.col("cost") + 0.999 * geo.geodesic(F.col("x0"), F.col("y0"), F.col("x"), F.col("y")) <= budget
+    step = rounds.keep(step)
+    first = starts.select(F.col("node").alias("src"), *place).distinct().join(step, "src").where((F.col("cost") <= budget) & near)
+    paths = rounds.keep(first.select(F.col("src").alias("start"), F.col("dst").alias("cur"), F.array("way_id").alias("path"), "cost", *place))
+    found = []
+    while not paths.isEmpty():
+        found.append(rounds.keep(paths.where("cur = start").select("start", "path", "cost")))
+        e = rounds.again(step).withColumnsRenamed({"cost": "more", "src": "cur"})
+        grown = paths.where("cur <> start").join(e, "cur").where("not array_contains(path, way_id)").withColumn("cost", F.col("cost") + F.col("more"))
+        grown = grown.where((F.col("cost") <= budget) & near)
+        new = rounds.keep(grown.select("start", F.col("dst").alias("cur"), F.expr("array_append(path, way_id)").alias("path"), "cost", *place))
+        rounds.drop(paths)
+        paths = new
+    return rounds.all_of(found) if found else paths.select("start", "path", "cost")
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, node, left): best remaining budget of each seed at each node it reaches, never below 0.
 
-    edges: way_id, src, dst, cost, directed; seeds: seed, node, left. A bounded relaxation: each
+    edges: way_id, src, dst, cost, directed; seeds: seed, node, left. A bounded relaxation, until no node improves: each
     round spends edges from improved nodes only and keeps the best, so the result does not depend on order.
     """
     rounds = Rounds(edges.sparkSession, "reach")
     step = rounds.keep(edges.select("src", "dst", "cost"))
     best = rounds.keep(seeds.where("left >= 0").groupBy("seed", "node").agg(F.max("left").alias("left")))
     front = best
-    for _ in range(max_rounds):
+    while True:
         e = rounds.again(step)
         cand = front.join(e, front["node"] == e["src"]).select("seed", F.col("dst").alias("node"), (F.col("left") - F.col("cost")).alias("left"))
         cand = cand.where("left >= 0").groupBy("seed", "node").agg(F.max("left").alias("left"))
         old = rounds.again(best).select("seed", "node", F.col("left").alias("was"))
         better = rounds.keep(cand.join(old, ["seed", "node"], "left").where("was is null or left > was").select("seed", "node", "left"))
         if better.isEmpty():
-            break
-        best = rounds.keep(best.unionByName(better).groupBy("seed", "node").agg(F.max("left").alias("left")))
-        front = better
-    return best
+            return best
+        new = rounds.keep(best.unionByName(better).groupBy("seed", "node").agg(F.max("left").alias("left")))
+        rounds.drop(best)
+        best, front = new, better
 
 
-def flood(edges: DataFrame, seeds: DataFrame, stop: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def flood(edges: DataFrame, seeds: DataFrame, stop: DataFrame) -> DataFrame:
     """(seed, way_id): ways crossed from each seed node until nodes of stop; those are reached, not passed.
 
-    edges: way_id, src, dst; seeds: seed, node; stop: node.
+    edges: way_id, src, dst; seeds: seed, node; stop: node. Rounds go on until no new node is reached.
     """
     rounds = Rounds(edges.sparkSession, "flood")
     step = rounds.keep(edges.select("way_id", "src", "dst"))
     front = rounds.keep(seeds.select("seed", "node").distinct())
-    seen, ways = front, None
+    seen, ways = [front], []
     halt = rounds.keep(stop.select("node").distinct())
-    for _ in range(max_rounds):
-        e = rounds.again(step)
-        crossed = rounds.keep(front.join(e, front["node"] == e["src"]).select("seed", "way_id", F.col("dst").alias("node")))
-        if crossed.isEmpty():
-            break
-        new = crossed.select("seed", "way_id").distinct()
-        ways = new if ways is None else ways.unionByName(new)
-        old = rounds.again(seen)
-        front = rounds.keep(crossed.select("seed", "node").distinct().join(old, ["seed", "node"], "left_anti").join(rounds.again(halt), "node", "left_anti").select("seed", "node"))
-        seen = rounds.keep(rounds.again(seen).unionByName(front))
-    return ways.distinct() if ways is not None else seeds.sparkSession.createDataFrame([], "seed long, way_id long")
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b); root is the least node of the component. Large-star, small-star."""
-    rounds = Rounds(edges.sparkSession, "components")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    now = rounds.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not front.isEmpty():
+        crossed = rounds.keep(front.join(rounds.again(step), F.col("node") == F.col("src")).select("seed", "way_id", F.col("dst").alias("to")))
+        ways.append(rounds.keep(crossed.select("seed", "way_id").distinct()))
+        new = rounds.again(crossed).select("seed", F.col("to").alias("node")).distinct()
+        front = rounds.keep(new.join(rounds.all_of(seen), ["seed", "node"], "left_anti").join(rounds.again(halt), "node", "left_anti").select("seed", "node"))
+        seen.append(front)
+    if ways:
+        return rounds.all_of(ways).distinct()
+    return seeds.select("seed").limit(0).crossJoin(edges.select("way_id").limit(0))  # no rows, of the right types
+
+
+def components(edges: DataFrame, rounds: Rounds | None = None, lone: bool = True) -> DataFrame:
+    """(node, root) for all nodes of edges (a, b), or without those that are their own root if not lone; root is the
+    least node of the component. Large-star, small-star until the stars stay as they are; null ends and loops join nothing."""
+    rounds = rounds or Rounds(edges.sparkSession, "components")
+    links = rounds.keep(edges.select("a", "b").distinct(), "links")
+    now = rounds.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     mark = None
-    for _ in range(max_rounds):
+    while True:
         turned = rounds.again(now)
         both = now.unionByName(turned.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        stars = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = rounds.keep(stars)
+        stars = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        new = rounds.keep(stars, "stars")
         state = new.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_003)))).first()
         rounds.drop(now)
         now = new
         if state == mark or state[0] == 0:
             break
         mark = state
-    else:
-        raise RuntimeError("components did not settle")
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots._paths = now._paths
+    if not lone:
+        rounds.drop(links)
+        return roots
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).where("node is not null").distinct()
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def chain_links(ends: DataFrame, true_nodes: DataFrame) -> DataFrame:
@@ -196,7 +204,3 @@ def split_at(way_nodes: DataFrame, split: DataFrame) -> DataFrame:
 def replace_split(edges: DataFrame, halves: DataFrame, key: str = "way_id", parent: str = "parent_id") -> DataFrame:
     """Graph after a split: split ways are gone and their halves are in."""
     return edges.join(halves.select(F.col(parent).alias(key)).distinct(), key, "left_anti").unionByName(halves.drop(parent), allowMissingColumns=True)
-
-
-def effective_edges(edges: DataFrame, keep: Column) -> DataFrame:
-    return edges.where(keep)

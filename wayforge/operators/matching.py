@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 from wayforge.operators.rounds import Rounds
 
 
-def greedy(pairs: DataFrame, score: str = "score", one_sided: bool = True, group: list[str] | None = None, max_rounds: int = 1000) -> DataFrame:
+def greedy(pairs: DataFrame, score: str = "score", one_sided: bool = True, group: list[str] | None = None) -> DataFrame:
     """The pairs that a greedy pass in order (score desc, j, i) takes, each end used once.
 
     Locally dominant pairs, best of both their ends, are what the sequential pass takes too; they are taken
-    in rounds, and pairs of used ends drop out. one_sided: i and j are different kinds (bipartite);
+    in rounds until no pair is left, and pairs of used ends drop out. one_sided: i and j are different kinds (bipartite);
     else an end is used on either side. Ends are per group.
     """
     group = group or []
     rounds = Rounds(pairs.sparkSession, "greedy")
     order = [F.desc(score), "j", "i"]
-    left, taken = rounds.keep(pairs), None
-    for _ in range(max_rounds):
+    left, taken = rounds.keep(pairs), []
+    while not left.isEmpty():
         if one_sided:
             top = left.withColumns({"__a": F.row_number().over(W.partitionBy(*group, "i").orderBy(*order)), "__b": F.row_number().over(W.partitionBy(*group, "j").orderBy(*order))})
             best = top.where("__a = 1 and __b = 1").drop("__a", "__b")
@@ -30,17 +30,17 @@ def greedy(pairs: DataFrame, score: str = "score", one_sided: bool = True, group
             low = ends.groupBy(*group, "end").agg(F.min("rank").alias("rank"))
             hit = low.select(*group, F.col("rank.i").alias("i"), F.col("rank.j").alias("j")).groupBy(*group, "i", "j").count().where("count = 2").drop("count")
             best = left.join(hit, [*group, "i", "j"], "left_semi")
-        best = rounds.keep(best)
-        if best.isEmpty():
-            break
-        taken = best if taken is None else taken.unionByName(best)
+        best = rounds.keep(best.select(*pairs.columns))
+        taken.append(best)
         if one_sided:
             rest = left.join(best.select(*group, "i"), [*group, "i"], "left_anti").join(rounds.again(best).select(*group, "j"), [*group, "j"], "left_anti")
         else:
             used = best.select(*group, F.explode(F.array("i", "j")).alias("end"))
             rest = left.join(used.withColumnRenamed("end", "i"), [*group, "i"], "left_anti").join(rounds.again(best).select(*group, F.explode(F.array("i", "j")).alias("j")), [*group, "j"], "left_anti")
-        left = rounds.keep(rest.select(*pairs.columns))
-    return taken if taken is not None else pairs.limit(0)
+        new = rounds.keep(rest.select(*pairs.columns))
+        rounds.drop(left)
+        left = new
+    return rounds.all_of(taken) if taken else left
 
 
 def best_per_i(pairs: DataFrame, order: list) -> DataFrame:

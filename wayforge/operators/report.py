@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wayforge.functions import geo, tags
 from wayforge.operators import spatial
+from wayforge.operators.rounds import Rounds
 
 c = F.col
 
@@ -15,9 +16,11 @@ c = F.col
 def numbered(matches: DataFrame, order: list[str], prefix: str = "match_") -> DataFrame:
     """Adds match_id, prefix and a running number of three digits or more. The numbers are offsets of range
     partitions plus places within them, so no task sees all rows."""
-    ranged = matches.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    rounds = Rounds(matches.sparkSession, "numbered")
+    # Written once: ranges are cut by sampling, so a second evaluation might cut them elsewhere.
+    ranged = rounds.keep(matches.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     at = ranged.withColumn("__k", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").count().withColumn("__base", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
+    sizes = rounds.again(ranged).groupBy("__p").count().withColumn("__base", F.coalesce(F.sum("count").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     n = (c("__base") + c("__k")).cast("string")
     return at.join(sizes, "__p").withColumn("match_id", F.concat(F.lit(prefix), F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n))).drop("__p", "__k", "__base")
 

@@ -75,8 +75,8 @@ loops as (select path from walk where cur = start)"""
 W8 = ", w8 as (select node_id, sum(case when seq = 1 then 2 else 1 end) as weight from fx_way_nodes group by 1)"
 
 MAIN3 = "('primary', 'secondary', 'tertiary')"
-NET = f""", na as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_way_lines where highway in {MAIN3}),
-nb as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_roads_b where highway in {MAIN3}),
+NET = f""", na as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_way_lines),
+nb as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_roads_b),
 nc as (select a.id as i, b.id as j, a.x1, a.y1, a.x2, a.y2, b.x1 as u1, b.y1 as v1, b.x2 as u2, b.y2 as v2,
  {seg_d('a.x1', 'a.y1', 'b.x1', 'b.y1', 'b.x2', 'b.y2')} as d1, {seg_d('a.x2', 'a.y2', 'b.x1', 'b.y1', 'b.x2', 'b.y2')} as d2,
  {seg_d('b.x1', 'b.y1', 'a.x1', 'a.y1', 'a.x2', 'a.y2')} as d3, {seg_d('b.x2', 'b.y2', 'a.x1', 'a.y1', 'a.x2', 'a.y2')} as d4,
@@ -89,9 +89,15 @@ nm as (select *, least(la,lb)/greatest(la,lb) as ratio, abs(((x2-x1)*(u2-u1)+(y2
  (select count(*) from range(0, 21) t(k) where {seg_d('(x1 + k/20e0*(x2-x1))', '(y1 + k/20e0*(y2-y1))', 'u1', 'v1', 'u2', 'v2')} <= 10)/21e0 as overlap from nd where distance <= 20),
 ns as (select *, 0.3e0*(1-least(hausdorff/40e0,1e0)) + 0.25e0*ratio + 0.25e0*overlap + 0.2e0*(similarity+1)/2 as score from nm),
 good as (select i, j, round(score, 6) as score, round(distance, 3) as distance from ns where ratio >= 0.3 and overlap >= 0.3 and similarity >= 0.7)"""
-BEST = NET + ", best as (select i, j, distance from good qualify row_number() over (partition by i order by score desc, j) = 1)"
+DIRECTIONS = f""", a as (select way_id, {STATE.format('oneway')} as s, lon1, lat1, lon2, lat2 from fx_way_lines where coalesce(junction not in ('roundabout', 'circular'), true)),
+b as (select way_id, {STATE.format('oneway')} as s, lon1, lat1, lon2, lat2 from fx_roads_b),
+g as (select i, j, a.s <> 'bidirectional' as one_a, b.s <> 'bidirectional' as one_b,
+ (case when a.s = 'reverse' then -1 else 1 end) * (case when b.s = 'reverse' then -1 else 1 end) * ((a.lon2-a.lon1)*(b.lon2-b.lon1)+(a.lat2-a.lat1)*(b.lat2-b.lat1)) / (sqrt(pow(a.lon2-a.lon1,2)+pow(a.lat2-a.lat1,2))*sqrt(pow(b.lon2-b.lon1,2)+pow(b.lat2-b.lat1,2))) as cosine
+ from best join a on a.way_id = i join b on b.way_id = j),
+k as (select *, case when cosine > 0.7 then 'same' when cosine < -0.7 then 'opposite' else 'mixed' end as kind from g)
+select i, j, case when one_a and one_b then concat(kind, '_direction') when one_a then concat('oneway_to_bidirectional_', kind) else concat('bidirectional_to_oneway_', kind) end as status from k where one_a or one_b"""
 
-PROJ = f""", pa as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_way_lines where highway in {MAIN3} and way_id % 5 = 0),
+PROJ = f""", pa as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_way_lines),
 pb as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_roads_b),
 pc as (select a.id as i, b.id as j, abs(((a.x2-a.x1)*(b.x2-b.x1)+(a.y2-a.y1)*(b.y2-b.y1))/(sqrt(pow(a.x2-a.x1,2)+pow(a.y2-a.y1,2))*sqrt(pow(b.x2-b.x1,2)+pow(b.y2-b.y1,2)))) as similarity,
  k, {seg_d('(a.x1 + k/4e0*(a.x2-a.x1))', '(a.y1 + k/4e0*(a.y2-a.y1))', 'b.x1', 'b.y1', 'b.x2', 'b.y2')} as d
@@ -165,7 +171,7 @@ select s.event_id, b.way_id, b.diff as angle_diff, b.dd as distance from fx_sign
     "split_way": q(PAIRS + """, f as (select * from (select *, round(d, 4) as dd from sp where d <= 30) qualify row_number() over (partition by way_id order by dd, event_id) = 1)
 select concat(way_id, '_a') as half_id, round(t*sqrt(pow(x2-x1,2)+pow(y2-y1,2)), 3) as length from f where t > 0 and t < 1
 union all select concat(way_id, '_b'), round((1-t)*sqrt(pow(x2-x1,2)+pow(y2-y1,2)), 3) from f where t > 0 and t < 1"""),
-    "proximity_thinning": q(f""", p as (select event_id, lon, lat from fx_signs where detection_type = 'left')
+    "proximity_thinning": q(f""", p as (select event_id, lon, lat from fx_signs)
 select event_id from p j where not exists (select 1 from p i where i.event_id < j.event_id and abs(i.lat - j.lat) < 1e-4 and {geo('i.lon', 'i.lat', 'j.lon', 'j.lat')} <= 6)"""),
     "detections_near_network": q(PAIRS + "select distinct event_id from sp where highway <> 'service' and d <= 5"),
     "detections_unmatched": q(PAIRS + "select event_id from fx_signs where event_id not in (select event_id from sp where highway <> 'service' and d <= 5)"),
@@ -185,12 +191,12 @@ g as (select *, degrees(acos(least(greatest((b*b+c*c-a*a)/(2*b*c),-1e0),1e0))) a
 select array_to_string(path, ',') as ways, main as has_non_residential, round(area, 2) as area_m2 from g where area >= 50 and least(g1,g2,g3) >= 5 and greatest(g1,g2,g3) <= 175""", True),
     "speed_reachability": q(f""", e as (select way_id, a, b, maxspeed, {geo('lon1', 'lat1', 'lon2', 'lat2')} as cost from fx_way_lines),
 st as (select a as src, b as dst, cost from e where maxspeed is not null union all select b, a, cost from e where maxspeed is not null),
-walk(seed, node, left_m) as (select node_id, node_id, 50e0 from fx_nodes where node_id % 20 = 0 union select w.seed, s.dst, w.left_m - s.cost from walk w join st s on s.src = w.node where w.left_m - s.cost >= 0),
+walk(seed, node, left_m) as (select node_id, node_id, 50e0 from fx_nodes union select w.seed, s.dst, w.left_m - s.cost from walk w join st s on s.src = w.node where w.left_m - s.cost >= 0),
 ok as (select distinct w.seed from walk w join e on (e.a = w.node or e.b = w.node) where e.maxspeed in ('30', '50'))
-select node_id from fx_nodes where node_id % 20 = 0 and node_id not in (select seed from ok)""", True),
-    "prolongation": q(""", t as (select way_id, a, b from fx_ways where highway = 'residential'), e as (select way_id, a as src, b as dst from t union all select way_id, b, a from t where a <> b),
+select node_id from fx_nodes where node_id not in (select seed from ok)""", True),
+    "prolongation": q(""", t as (select way_id, a, b from fx_ways), e as (select way_id, a as src, b as dst from t union all select way_id, b, a from t where a <> b),
 stop as (select src as node from e group by 1 having count(distinct way_id) >= 3),
-fl(seed, node) as (select node_id, node_id from fx_nodes where node_id % 97 = 0 union select f.seed, e.dst from fl f join e on e.src = f.node where f.node = f.seed or f.node not in (select node from stop))
+fl(seed, node) as (select node_id, node_id from fx_nodes union select f.seed, e.dst from fl f join e on e.src = f.node where f.node = f.seed or f.node not in (select node from stop))
 select distinct f.seed, e.way_id from fl f join e on e.src = f.node where f.node = f.seed or f.node not in (select node from stop)""", True),
     "connected_components": q(""", e as (select a, b from fx_ways where highway in ('primary', 'track')),
 cc(node, root) as (select a, a from e union select b, b from e union select case when e.a = c.node then e.b else e.a end, c.root from cc c join e on e.a = c.node or e.b = c.node)
@@ -202,15 +208,6 @@ union all select concat(way_id, '_0'), 3 from fx_ways where way_id % 3 <> 0"""),
     "network_candidates": q(NET + "select i, j, round(distance, 3) as distance from nd where distance <= 20"),
     "match_scores": q(NET + "select i, j, round(hausdorff, 3) as hausdorff, round(ratio, 5) as length_ratio, round(overlap, 5) as overlap, round(score, 5) as score from ns"),
     "projection_match": q(PROJ + "select i, j, distance, round(coverage, 4) as coverage from pm"),
-    "combined_match": q(BEST + PROJ.replace("pa as", "ppa as").replace("from pa a join pb b", "from ppa a join pb b") + """, u as (select i, j, 'direct' as kind, distance from best where i % 2 = 0 union all select i, j, 'projection', distance from pm)
-select i, j, kind, distance from u qualify row_number() over (partition by i order by case kind when 'direct' then 0 else 1 end, distance, j) = 1"""),
-    "direction_differences": q(BEST + f""", a as (select way_id, {STATE.format('oneway')} as s, lon1, lat1, lon2, lat2 from fx_way_lines where coalesce(junction not in ('roundabout', 'circular'), true)),
-b as (select way_id, {STATE.format('oneway')} as s, lon1, lat1, lon2, lat2 from fx_roads_b),
-g as (select i, j, a.s <> 'bidirectional' as one_a, b.s <> 'bidirectional' as one_b,
- (case when a.s = 'reverse' then -1 else 1 end) * (case when b.s = 'reverse' then -1 else 1 end) * ((a.lon2-a.lon1)*(b.lon2-b.lon1)+(a.lat2-a.lat1)*(b.lat2-b.lat1)) / (sqrt(pow(a.lon2-a.lon1,2)+pow(a.lat2-a.lat1,2))*sqrt(pow(b.lon2-b.lon1,2)+pow(b.lat2-b.lat1,2))) as cosine
- from best join a on a.way_id = i join b on b.way_id = j),
-k as (select *, case when cosine > 0.7 then 'same' when cosine < -0.7 then 'opposite' else 'mixed' end as kind from g)
-select i, j, case when one_a and one_b then concat(kind, '_direction') when one_a then concat('oneway_to_bidirectional_', kind) else concat('bidirectional_to_oneway_', kind) end as status from k where one_a or one_b"""),
     "parallel_pairs": q(PIX + "select image, i, j, round(distance, 4) as distance, round(overlap, 3) as overlap, round(angle_diff, 3) as angle_diff from good"),
     "pair_score": q(PIX + "select image, i, j, round(score, 5) as score from good where shorter >= 20 and length_ratio > 0.6"),
     "image_summary": q(PIX + """select n.image, n.lines, coalesce(p.pairs, 0) as pairs, p.mean_score from (select image, count(*) as lines from fx_lines group by 1) n
@@ -234,11 +231,27 @@ cl as (select id, greatest(0e0, case when abs(s2-s1) < 1e-15 then (case when s1
 mg as (select id, a, b, coalesce(max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding), 0e0) as seen from cl where b > a),
 sh as (select id, sum(greatest(0e0, b - greatest(a, seen))) as share from mg group by 1)
 select d.id as way_id, round(m, 3) as length, round(coalesce(share, 0), 4) as share from det d left join sh using (id) where m >= 15 and coalesce(share, 0) < least(0.85e0, m/40*0.85e0)""")
-# Greedy matching as the sequence it is defined by: one more pair a step, first in order of those whose ends are free.
-_GREEDY = """, ranked as (select *, row_number() over ({part} order by score desc, j, i) as rn from {src}),
-step({key}rn, ii, jj, used) as (
- select {key}0::bigint, {none_i}, {none_j}, [{empty}] from {groups}
+# Greedy matching by rounds over all pairs that are left: those first of both their ends are taken, and pairs of their ends go.
+def greedy(src: str, one_sided: bool = True, group: str = "") -> str:
+    """Tables rounds and taken of the pairs (i, j, score) of src."""
+    g, same = (f"{group}, ", f"b.{group} = t.{group} and ") if group else ("", "")
+    order = "order by score desc, j, i"
+    if one_sided:
+        firsts = f"select *, row_number() over (partition by {g}i {order}) = 1 and row_number() over (partition by {g}j {order}) = 1 as best from open_"
+    else:
+        firsts = f"""select o.*, not exists (select 1 from open_ b where {same.replace('t.', 'o.')}(b.i in (o.i, o.j) or b.j in (o.i, o.j)) and (b.score > o.score or (b.score = o.score and (b.j < o.j or (b.j = o.j and b.i < o.i))))) as best from open_ o"""
+    clash = "(b.i = t.i or b.j = t.j)" if one_sided else "(b.i in (t.i, t.j) or b.j in (t.i, t.j))"
+    return f""", rounds({g}i, j, score, taken) as (
+ select {g}i, j, score, false from {src}
  union all
- select {skey}n.rn, n.i, n.j, list_concat(s.used, {add}) from step s, lateral (select r.rn, r.i, r.j from ranked r where {same} r.rn > s.rn and not {clash} order by r.rn limit 1) n)"""
-SQL["greedy_match"] = q(NET + _GREEDY.format(part="", src="good", key="", skey="", none_i="null::bigint", none_j="null::varchar", empty="''", groups="(select 1)", add="[concat('a', n.i), n.j]", same="",
-                                            clash="(list_contains(s.used, concat('a', r.i)) or list_contains(s.used, r.j))") + " select r.i, r.j, r.score from step join ranked r using (rn) where rn > 0", True)
+ select {g}i, j, score, best from (with open_ as (select * from rounds where not taken), tops as ({firsts})
+  select * from tops t where best or not exists (select 1 from tops b where {same}b.best and {clash})) z),
+taken as (select {g}i, j, score from rounds where taken)"""
+
+
+SQL["greedy_match"] = q(NET + greedy("good") + " select i, j, score from taken", True)
+SQL["double_lines"] = q(PIX + ", pairs_ok as (select image, i, j, round(score, 6) as score from good where shorter >= 20 and length_ratio > 0.6)" + greedy("pairs_ok", False, "image") + " select image, i, j, score from taken", True)
+BEST = NET + greedy("good") + ", best as (select i, j, g.distance from taken join good g using (i, j))"
+SQL["combined_match"] = q(BEST + PROJ.replace("pa as", "ppa as").replace("from pa a join pb b", "from ppa a join pb b") + """, u as (select i, j, 'direct' as kind, distance from best union all select i, j, 'projection', distance from pm)
+select i, j, kind, distance from u qualify row_number() over (partition by i order by case kind when 'direct' then 0 else 1 end, distance, j) = 1""", True)
+SQL["direction_differences"] = q(BEST + DIRECTIONS, True)

@@ -163,7 +163,7 @@ def split_way(spark, sf_dir):
 
 
 def proximity_thinning(spark, sf_dir):
-    pts = fx.signs(spark, sf_dir).where("detection_type = 'left'").select(c("event_id").alias("id"), "lon", "lat")
+    pts = fx.signs(spark, sf_dir).select(c("event_id").alias("id"), "lon", "lat")
     return spatial.thin(pts, 6.0).select(c("id").alias("event_id"))
 
 
@@ -184,7 +184,7 @@ def _loop_edges(spark, sf_dir):
 
 def _loops(spark, sf_dir):
     starts = fx.ways(spark, sf_dir).where(tags.loop_start(c("junction"), c("oneway"))).select(c("a").alias("node")).distinct()
-    return graph.closed_loops(_loop_edges(spark, sf_dir), starts, LOOP_M)
+    return graph.closed_loops(_loop_edges(spark, sf_dir), starts, LOOP_M, fx.nodes(spark, sf_dir).select(c("node_id").alias("node"), "lon", "lat"))
 
 
 def closed_loops(spark, sf_dir):
@@ -222,10 +222,10 @@ def triangles(spark, sf_dir):
 
 
 def speed_reachability(spark, sf_dir):
-    """City-limit nodes (every 20th) without a limit of at most 50 on their own ways or within 50 m along ways with a limit tag."""
+    """Nodes without a limit of at most 50 on their own ways or within 50 m along ways with a limit tag."""
     w = fx.way_lines(spark, sf_dir).withColumn("cost", geo.geodesic(c("lon1"), c("lat1"), c("lon2"), c("lat2")))
     cross = graph.both_directions(w.where(c("maxspeed").isNotNull()).select("way_id", "a", "b", "cost")).select("way_id", "src", "dst", "cost")
-    seeds = fx.nodes(spark, sf_dir).where("node_id % 20 = 0").select(c("node_id").alias("seed"), c("node_id").alias("node"), F.lit(50.0).alias("left"))
+    seeds = fx.nodes(spark, sf_dir).select(c("node_id").alias("seed"), c("node_id").alias("node"), F.lit(50.0).alias("left"))
     at = graph.reach(cross, seeds)
     touch = graph.both_directions(w.select("way_id", "a", "b", "cost")).select("way_id", "src").distinct()
     low = w.where(tags.int_of(c("maxspeed")) <= 50).select("way_id")
@@ -234,11 +234,11 @@ def speed_reachability(spark, sf_dir):
 
 
 def prolongation(spark, sf_dir):
-    """Ways from every 97th node to the next intersections (nodes where three or more ways meet)."""
-    t = fx.ways(spark, sf_dir).where("highway = 'residential'")
+    """Ways from each node to the next intersections (nodes where three or more ways meet)."""
+    t = fx.ways(spark, sf_dir)
     e = graph.both_directions(t.select("way_id", "a", "b", F.lit(0.0).alias("cost"))).select("way_id", "src", "dst")
     degree = e.groupBy("src").agg(F.countDistinct("way_id").alias("n")).where("n >= 3").select(c("src").alias("node"))
-    seeds = fx.nodes(spark, sf_dir).where("node_id % 97 = 0").select(c("node_id").alias("seed"), c("node_id").alias("node"))
+    seeds = fx.nodes(spark, sf_dir).select(c("node_id").alias("seed"), c("node_id").alias("node"))
     return graph.flood(e, seeds, degree)
 
 
@@ -277,8 +277,8 @@ def split_segments(spark, sf_dir):
 
 
 def _network_pairs(spark, sf_dir):
-    a = fx.way_lines(spark, sf_dir).where("highway in ('primary', 'secondary', 'tertiary')").select(c("way_id").alias("id"), "oneway", "lon1", "lat1", "lon2", "lat2")
-    b = fx.roads_b(spark, sf_dir).where("highway in ('primary', 'secondary', 'tertiary')").select(c("way_id").alias("id"), "oneway", "lon1", "lat1", "lon2", "lat2")
+    a = fx.way_lines(spark, sf_dir).select(c("way_id").alias("id"), "oneway", "lon1", "lat1", "lon2", "lat2")
+    b = fx.roads_b(spark, sf_dir).select(c("way_id").alias("id"), "oneway", "lon1", "lat1", "lon2", "lat2")
     line = lambda d: d.withColumn("line", geo.project_line(F.array(pt(c("lon1"), c("lat1")), pt(c("lon2"), c("lat2")))))
     a, b = (d.withColumns(spatial.line_box(c("line"))) for d in (line(a), line(b)))
     got = spatial.box_join(a, b, cell=96.0, reach=20.0)
@@ -291,8 +291,8 @@ def _metrics(spark, sf_dir):
     v = lambda k: (c(k)[1]["x"] - c(k)[0]["x"], c(k)[1]["y"] - c(k)[0]["y"])
     cosine = F.coalesce(angles.direction_cosine(*v("l_line"), *v("r_line")), F.lit(0.0))
     # share of 21 places along the first line that lie within 10 m of the second: the sampled form of the overlap of buffers
-    share = F.size(F.filter(F.sequence(F.lit(0), F.lit(20)), lambda k: geo.point_line_distance(
-        c("r_line"), c("l_line")[0]["x"] + k / 20.0 * (c("l_line")[1]["x"] - c("l_line")[0]["x"]), c("l_line")[0]["y"] + k / 20.0 * (c("l_line")[1]["y"] - c("l_line")[0]["y"])) <= 10.0)) / 21.0
+    places = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: pt(c("l_line")[0]["x"] + k / 20.0 * (c("l_line")[1]["x"] - c("l_line")[0]["x"]), c("l_line")[0]["y"] + k / 20.0 * (c("l_line")[1]["y"] - c("l_line")[0]["y"])))
+    share = geo.share_within(places, c("r_line"), 10.0)
     g = g.withColumns({"ratio": matching.length_ratio(la, lb), "hausdorff": geo.hausdorff(c("l_line"), c("r_line")), "similarity": F.abs(cosine), "overlap": share})
     return g.withColumn("score", matching.match_score(c("hausdorff"), c("ratio"), c("overlap"), c("similarity")))
 
@@ -316,12 +316,11 @@ def greedy_match(spark, sf_dir):
 
 
 def _projection_pairs(spark, sf_dir, reach: float = 15.0):
-    a = fx.way_lines(spark, sf_dir).where("highway in ('primary', 'secondary', 'tertiary') and way_id % 5 = 0").select(c("way_id").alias("id"), geo.project_line(F.array(pt(c("lon1"), c("lat1")), pt(c("lon2"), c("lat2")))).alias("line"))
+    a = fx.way_lines(spark, sf_dir).select(c("way_id").alias("id"), geo.project_line(F.array(pt(c("lon1"), c("lat1")), pt(c("lon2"), c("lat2")))).alias("line"))
     b = fx.roads_b(spark, sf_dir).select(c("way_id").alias("id"), geo.project_line(F.array(pt(c("lon1"), c("lat1")), pt(c("lon2"), c("lat2")))).alias("line"))
     a, b = (d.withColumns(spatial.line_box(c("line"))) for d in (a.withColumn("samples", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: geo.interpolate(c("line"), k / 4.0, normalized=True))), b))
     got = spatial.box_join(a, b, cell=96.0, reach=reach)
-    d = F.transform("l_samples", lambda p: geo.point_line_distance(c("r_line"), p["x"], p["y"]))
-    got = got.withColumn("d", d)
+    got = got.withColumn("d", geo.bound(geo.pairs(c("r_line")), lambda segs: F.transform("l_samples", lambda p: geo.distance_to(segs, p["x"], p["y"]))))
     v = lambda k: (c(k)[1]["x"] - c(k)[0]["x"], c(k)[1]["y"] - c(k)[0]["y"])
     return got.select(
         c("l_id").alias("i"), c("r_id").alias("j"), r(F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / 5, 4).alias("distance"),
@@ -335,14 +334,15 @@ def projection_match(spark, sf_dir):
 
 
 def combined_match(spark, sf_dir):
-    direct = matching.best_per_i(_good(spark, sf_dir), [F.desc("score"), "j"]).where("i % 2 = 0")
+    """The greedy one-to-one set, and for roads it leaves over the projected match."""
+    direct = matching.greedy(_good(spark, sf_dir))
     p = _projection_pairs(spark, sf_dir).where("similarity > 0.7 and coverage >= 0.6 and distance <= 15")
     return matching.combined(direct, matching.best_per_i(p, ["distance", "j"]))
 
 
 def direction_differences(spark, sf_dir):
-    """Direction labels of best pairs, one-way against the other network; equal two-way pairs are no difference."""
-    best = matching.best_per_i(_good(spark, sf_dir), [F.desc("score"), "j"]).select("i", "j")
+    """Direction labels of the greedy one-to-one set, one-way against the other network; equal two-way pairs are no difference."""
+    best = matching.greedy(_good(spark, sf_dir)).select("i", "j")
     p = lambda d: d.select("id", tags.oneway_state(c("oneway")).alias("state"), "lon1", "lat1", "lon2", "lat2")
     a = p(fx.way_lines(spark, sf_dir).where(~F.coalesce(c("junction").isin("roundabout", "circular"), F.lit(False))).withColumn("id", c("way_id"))).alias("a")
     b = p(fx.roads_b(spark, sf_dir).withColumn("id", c("way_id"))).alias("b")
