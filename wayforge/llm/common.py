@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayforge.operators.rounds import Rounds
+
 REPO_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -30,17 +29,7 @@ def session_ready(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a folder of our own where none is set (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "wayforge-checkpoints")
-    return root.rstrip("/")
-
-
-class Scratch:
+class Scratch(Rounds):
     """Parquet tables in the shared checkpoint folder; they cut lineage and survive executors.
 
     ``drop`` removes a table once nothing lazy needs it; what is left goes when the driver exits.
@@ -48,45 +37,23 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         session_ready(spark)
-        self.spark = spark
-        self.root = f"{checkpoint_root(spark)}/scratch-{tag}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-        atexit.register(self.close)
+        super().__init__(spark, f"scratch-{tag}")
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def again(self, df: DataFrame) -> DataFrame:
-        """The same table read anew, for plans that use it twice."""
-        out = self.spark.read.schema(df.schema).parquet(df._scratch_path)
-        out._scratch_path = df._scratch_path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            self._delete(t._scratch_path)
+        return self.keep(df, name)
 
     def settle(self) -> None:
         """Let go of shuffle files that no live plan needs: Spark removes them when its driver collects garbage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(p, True)
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM may already be gone at exit
-            pass
+
+def hidden(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    x = "__"
+    while any(c.lower().startswith(x) for c in df.columns):
+        x += "_"
+    return x
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

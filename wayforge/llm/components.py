@@ -1,41 +1,14 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
-
-Only DataFrame operations; each round is a table in the shared folder. Minima are
-pre-aggregated before each shuffle, and the joins that follow are plain equi-joins which
-adaptive execution splits where a key is hot. Nothing but two numbers a round reaches the driver.
-"""
+"""Connected components of an edge table: those of the road graph, in the tables of a training-data operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from wayforge.llm.common import Scratch
+from wayforge.operators import graph
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: columns a, b (any orderable type). Returns (node, root) with root < node:
     every node that isn't itself the smallest of its component. Null ends and loops are ignored."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, mark = scratch.write(e, "edges"), None
-    for _ in range(max_rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        )
-        new = scratch.write(small, "stars")
-        n, h = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        scratch.drop(now)
-        now = new
-        if (n, h) == mark or n == 0:
-            break
-        mark = (n, h)
-    else:
-        raise RuntimeError("components did not settle")
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out._scratch_path = now._scratch_path
-    return out
+    return graph.components(edges, scratch, lone=False)

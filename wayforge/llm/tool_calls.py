@@ -141,8 +141,7 @@ def _peeled(edges: DataFrame, scratch: Scratch) -> DataFrame:
         left = rest
         if done[-1].isEmpty():
             break
-    levels = edges.sparkSession.read.schema(done[0].schema).parquet(*(d._scratch_path for d in done))  # one scan, however many rounds
-    return levels.unionByName(left.select(*key).distinct().withColumn("level", F.lit(None).cast("long")))
+    return scratch.all_of(done).unionByName(left.select(*key).distinct().withColumn("level", F.lit(None).cast("long")))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict[str, dict], scratch: Scratch) -> DataFrame:
