@@ -9,7 +9,11 @@ are never shuffled or compared again.
 
 Defined cases: a null text counts as empty; an empty text has the empty recipe and all of them are
 equal; of equal rows the largest doc_id stays (null ids last), and of repeated rows with that
-doc_id exactly one; other columns, whatever their names, are left alone.
+doc_id exactly one (any one, if they differ in other columns); very long texts are cut like others; other columns, whatever their names,
+are left alone.
+
+Groups are counted before anything moves, and joined back by `join_groups`: the few large ones by broadcast, so a text
+that a third of all rows share is not gathered in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayforge.llm.common import Scratch
+from wayforge.llm.common import Scratch, hidden, join_groups
 
 MIN_CHARS, MAX_CHARS = 1024, 8192
 
@@ -71,23 +75,23 @@ def recipes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
 
 def dedup_exact(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    listed = scratch.write(
-        recipes(docs, scratch, doc_id, text).select("doc_id", "text_sha256", "recipe"), "recipes"
-    )
-    groups = listed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    joined = listed.join(groups, "recipe")
-    first = F.row_number().over(W.partitionBy("recipe", "doc_id").orderBy("text_sha256")) == 1
+    listed = scratch.write(recipes(docs, scratch, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    scratch.settle()
+    groups = listed.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    joined = join_groups(scratch.again(listed), scratch.write(groups, "groups"), "recipe", "group_size")
+    alone = F.col("keep").isNull()
     return joined.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256"
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("keep.row") == F.col("row"))).alias("kept"), "text_sha256",
     )
 
 
 def keep_unique(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = dedup_exact(docs, scratch, doc_id, text).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    key = F.sha2(F.coalesce(docs[text], F.lit("")), 256)
-    marked = docs.withColumn("__key", key)
+    x = hidden(docs)
+    kept = dedup_exact(docs, scratch, doc_id, text).where("kept").select(F.col("doc_id").alias(f"{x}id"), F.col("text_sha256").alias(f"{x}sha"))
+    marked = docs.withColumn(f"{x}key", F.sha2(F.coalesce(docs[text], F.lit("")), 256))
     return (
-        marked.join(kept, marked["__key"].eqNullSafe(kept["__sha"]) & marked[doc_id].eqNullSafe(kept["__id"]), "left_semi")
-        .dropDuplicates([doc_id, "__key"]).select(*docs.columns)
+        marked.join(kept, marked[f"{x}key"].eqNullSafe(kept[f"{x}sha"]) & marked[doc_id].eqNullSafe(kept[f"{x}id"]), "left_semi")
+        .dropDuplicates([doc_id, f"{x}key"]).select(*docs.columns)
     )
