@@ -17,7 +17,9 @@ group of near copies costs about its size and not its square, and no link betwee
 N-grams are compared by 64-bit hashes. Defined cases: a null or blank text has an empty set and
 links with nothing; a text with fewer words than n has one n-gram, the whole sequence; repeated
 rows are copies; a null doc_id is a row like others, but never the smallest id of a component
-unless all its ids are null; an empty table gives an empty result.
+unless all its ids are null, and doc_id may be of any plain type; very long texts are hashed window by window, whole; pairs
+exactly at the threshold link; other columns are not read by the join, and kept as they are by `keep_one`; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from wayforge.llm.common import Scratch
+from wayforge.llm.common import Scratch, hidden, join_groups
 from wayforge.llm.components import connected_components
 from wayforge.llm.words import mix, text_shingles, texts_of
 
@@ -44,7 +47,7 @@ def class_of(grams: np.ndarray) -> int:
 
 def _sets(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, np.ndarray]:
     """The table (doc_id, n, cls), and how many sets fall on each slot of the table of counts."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
 
     def run(batches):
         slots, seen = np.zeros(1 << SLOT_BITS, np.int64), set()
@@ -65,7 +68,7 @@ def _sets(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, np.ndar
         parts = np.minimum(slots, 65535).astype("<u2").reshape(SLICES, -1)  # what one task can add to a slot
         some = [i for i in range(SLICES) if parts[i].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(some), b_type(kind)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+            [pa.nulls(len(some), id_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
             names=["doc_id", "n", "cls", "slice", "counts"],
         )
 
@@ -93,10 +96,6 @@ def _sets(docs: DataFrame, scratch: Scratch, k: int) -> tuple[DataFrame, np.ndar
     return both.where("slice is null").select("doc_id", "n", "cls"), np.minimum(counts.ravel(), 2**31 - 1).astype(np.int32)
 
 
-def b_type(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def need(n_a, n_b, num: int, den: int):
     """Least overlap of sets of these sizes with den * overlap >= num * union."""
     return -((-num * (n_a + n_b)) // (num + den))
@@ -130,31 +129,30 @@ def _prefix(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
 
 
 def _columns(prefix: DataFrame) -> DataFrame:
-    """(gram, cls, n, pos) of n-grams that at least two classes have; a block of columns in each task."""
+    """(gram, cls, n, pos) of n-grams that at least two classes have. Rows stream in order, and one row is kept back: the last
+    entry, until it shows whether its column has another."""
 
     def run(batches):
-        cols = [[], [], [], []]
+        last, shown = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)], True
         for b in batches:
-            for i in range(4):
-                cols[i].append(b.column(i).to_numpy(zero_copy_only=False))
-        if not cols[0]:
-            return
-        gram, cls, n, pos = (np.concatenate(cols.pop(0)) for _ in range(4))
-        order = np.lexsort((cls, gram))
-        gram, cls, n, pos = gram[order], cls[order], n[order], pos[order]
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
-        gram, cls, n, pos = gram[new], cls[new], n[new], pos[new]
-        same = gram[1:] == gram[:-1]
-        many = np.zeros(len(gram), bool)
-        many[1:] |= same
-        many[:-1] |= same
-        gram, cls, n, pos = gram[many], cls[many], n[many], pos[many]
-        for i in range(0, len(gram), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (gram, cls, n, pos)], names=["gram", "cls", "n", "pos"])
-
-    return prefix.repartition("gram").mapInArrow(run, "gram long, cls long, n int, pos int")
+            gram, cls, n, pos = (np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(last))
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])
+            gram, cls, n, pos = gram[new], cls[new], n[new], pos[new]
+            if not len(gram):
+                continue
+            many = np.zeros(len(gram), bool)
+            same = gram[1:] == gram[:-1]
+            many[1:] |= same
+            many[:-1] |= same
+            held, end = len(last[0]) == 1, bool(many[-1]) or (len(gram) == 1 and len(last[0]) == 1 and shown)
+            last = [x[-1:] for x in (gram, cls, n, pos)]
+            if held and shown:
+                many[0] = False  # went out before
+            shown = end
+            yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (gram, cls, n, pos)], names=["gram", "cls", "n", "pos"])
+
+    return prefix.repartition("gram").sortWithinPartitions("gram", "cls").mapInArrow(run, "gram long, cls long, n int, pos int")
 
 
 def _open(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -294,15 +292,18 @@ def ngram_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 8
     labels = connected_components(links, scratch)
     scratch.drop(weighted, entries, cross)
     scratch.drop(columns)
-    named = sets.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    low = named.where("cls is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(low, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    # Copies are counted before they meet, so that what many rows share is joined back without gathering it.
+    classes = sets.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.write(classes.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")), "classes")
+    lows = scratch.write(classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("members")).where("members > 1"), "lows")
+    named = join_groups(classes, lows, "root", "members").select("cls", F.when(F.col("members").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"), "copies")
+    back = join_groups(sets, scratch.write(named, "named"), "cls", "copies")
+    return back.select("doc_id", F.col("n").alias("n_shingles"), "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, **kw) -> DataFrame:
-    """Rows of docs with one document of each component: the one with the smallest id."""
+    """Rows of docs with one document of each component: the one with the smallest id. Rows that share a doc_id stay or go together."""
     got = ngram_components(docs, scratch, **kw)
-    keep = got.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    x = hidden(docs) + "id"
+    keep = got.where("doc_id <=> component_id").select(F.col("doc_id").alias(x)).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep[x]), "left_semi")
