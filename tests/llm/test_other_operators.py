@@ -391,6 +391,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == sizes["pack"]
 
 
+def test_last_stages_rebuild_their_input(spark, tmp_path):
+    """What mix takes are whole runs of words of its input, and pack's ids are those of the tokenizer, in gapless sequences."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = documents(spark).limit(60)
+    mixed = corpus_pipeline.mix_stage(spark, docs, SF)
+    mixed.write.parquet(str(tmp_path / "mix"))
+    mixed = spark.read.parquet(str(tmp_path / "mix"))
+    have = {r["doc_id"]: r["text"].split() for r in docs.collect()}
+    texts = {}
+    for r in mixed.collect():
+        w = r["text"].split()
+        left = iter(have[r["doc_id"]])
+        assert w and all(x in left for x in w)  # in order
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    rows = corpus_pipeline.pack_stage(spark, mixed, SF).collect()
+    check_layout(rows, 4096)
+    t, ids = Tokenizer.from_file(vocabulary(BPE)), {}
+    for r in sorted(rows, key=lambda r: r["piece"]):
+        ids.setdefault((r["doc_id"], r["row"]), []).extend(r["input_ids"])
+    got = sorted((d, x) for (d, _), x in ids.items())
+    assert got == sorted((d, [*t.encode(x, add_special_tokens=False).ids, 1]) for d, many in texts.items() for x in many)
+
+
+def test_stages_on_odd_and_empty_input(spark):
+    import corpus_pipeline
+
+    odd = odd_docs(spark)
+    for c in ("passes", "__key", "__words", "root", "row", "keep"):
+        odd = odd.withColumn(c, F.lit("x"))
+    for df in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert name == "pack" or out.columns == df.columns
+            n = out.count()
+            assert n == 0 if df is not odd else n > 0 or name == "quality"
+
+
 def test_all_ten_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
 

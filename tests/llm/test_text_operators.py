@@ -349,3 +349,24 @@ def test_lm_odd_rows(spark, scratch):
     rows = {r["doc_id"]: r for r in lattice_lm.score_documents(odd_docs(spark), scratch, vocabulary("piece_bpe_32k.model"), rounds=1).collect()}
     assert rows[3]["n_tokens"] == rows[4]["n_tokens"] == rows[5]["n_tokens"] == 1 and rows[6]["n_tokens"] == 30_001 and math.isfinite(rows[8]["score"])
     assert lattice_lm.score_documents(odd_docs(spark).limit(0), scratch, vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_columns_stream(spark):
+    """Entries of shared n-grams, whatever batches they come in."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(40), rng.randrange(6), 5, rng.randrange(3)) for _ in range(150)]
+    df = spark.createDataFrame(rows, "gram long, cls long, n int, pos int")
+    having = {}
+    for g, c, *_ in rows:
+        having.setdefault(g, set()).add(c)
+    want = sorted((g, c) for g, cs in having.items() if len(cs) > 1 for c in cs)
+    for size in ("1", "2", "7", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        assert sorted((r["gram"], r["cls"]) for r in ngram_join._columns(df).collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def test_ids_of_any_plain_type(spark, scratch):
+    df = docs_of(spark, ["one two three four five six", "one two three four five six", "x"]).withColumn("doc_id", F.col("doc_id").cast("smallint"))
+    assert sorted(r["component_id"] for r in ngram_join.ngram_components(df, scratch).collect()) == [0, 0, 2]
+    assert lattice_lm.score_documents(df, scratch, vocabulary("piece_bpe_32k.model"), rounds=0).count() == 3

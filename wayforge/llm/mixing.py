@@ -10,7 +10,9 @@ ceil(target / size) times. Drawn block numbers are then joined with the blocks.
 Bounds: the driver holds a row for each source and a count for each shard and source.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source
-without words has target 0; an empty table gives an empty result; repeated rows are separate rows.
+without words has target 0; an empty table gives an empty result; repeated rows are separate rows; very long
+texts are streams of blocks like others; ties in the pseudorandom order go by doc_id and size, and rows equal in these
+are alike to the mix; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayforge.llm.common import Scratch
+from wayforge.llm.common import Scratch, hidden
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -152,6 +154,7 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block_words: int = 128, *
     """
     _, placed, slots = mix(docs, scratch, block_words=block_words, **kw)
     draws = slots.groupBy("sidx", "block").agg(F.count(F.lit(1)).cast("int").alias("draws"))
+    x = hidden(docs)
     parts = (
         spans(placed, block_words).join(draws, ["sidx", "block"])
         .select("doc_id", "start", "sidx", "size", "first_word", "words", F.explode(F.expr("sequence(1, draws)")).alias("pass"))
@@ -160,14 +163,14 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, block_words: int = 128, *
         .groupBy("doc_id", "sidx", "start", "size").agg(F.collect_list(F.struct("n", "parts")).alias("passes"))
     )
     nth = W.partitionBy("doc_id", "size").orderBy("sidx", "start")
-    parts = parts.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "passes", F.row_number().over(nth).alias("__nth"))
-    marked = docs.withColumn("__words", n_words(F.col("text"))).where("__words > 0")
-    marked = marked.withColumn("__n", F.row_number().over(W.partitionBy("doc_id", "__words").orderBy(F.col("source").asc_nulls_last())))
-    joined = marked.join(parts, marked["doc_id"].eqNullSafe(parts["__id"]) & (marked["__words"] == parts["__size"]) & (marked["__n"] == parts["__nth"]))
-    out = joined.select(*[marked[c] for c in docs.columns], "__words", F.explode("passes").alias("__pass"))
+    parts = parts.select(F.col("doc_id").alias(f"{x}id"), F.col("size").alias(f"{x}size"), F.col("passes").alias(f"{x}passes"), F.row_number().over(nth).alias(f"{x}nth"))
+    marked = docs.withColumn(f"{x}words", n_words(F.col("text"))).where(f"{x}words > 0")
+    marked = marked.withColumn(f"{x}n", F.row_number().over(W.partitionBy("doc_id", f"{x}words").orderBy(F.col("source").asc_nulls_last())))
+    joined = marked.join(parts, marked["doc_id"].eqNullSafe(parts[f"{x}id"]) & (F.col(f"{x}words") == F.col(f"{x}size")) & (F.col(f"{x}n") == F.col(f"{x}nth")))
+    out = joined.select(*docs.columns, f"{x}words", F.explode(f"{x}passes").alias(f"{x}pass"))
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform(F.col("__pass.parts"), lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("__pass.n") == F.col("__words"), F.col("text")).otherwise(some)
-    out = out.withColumn("__text", text)
-    cols = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    some = F.array_join(F.flatten(F.transform(F.col(f"{x}pass.parts"), lambda p: F.slice(words, (p["first_word"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    text = F.when(F.col(f"{x}pass.n") == F.col(f"{x}words"), F.col("text")).otherwise(some)
+    out = out.withColumn(f"{x}text", text)
+    cols = {"text": F.col(f"{x}text")} | ({"n_chars": F.length(f"{x}text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[cols.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -94,14 +94,18 @@ def in_portions(raws, most: int = 2 << 20):
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, input_ids of each piece of each text."""
+    """doc_id, piece, start, length, ids_crc32, row and, if asked for, input_ids of each piece of each text. row is the same for
+    the pieces of one row of docs and differs between rows, so copies of a document can be told apart."""
     session_ready(docs.sparkSession)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long"] + ["array<int>"] * with_ids
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["input_ids"] * with_ids
+    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long", "long"] + ["array<int>"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"] + ["input_ids"] * with_ids
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
+        from pyspark import TaskContext
+
+        before = TaskContext.get().partitionId() << 33
         for b in batches:
             rows, cut = [], [[], [], [], [], []]
             texts = (ids for part in in_portions(texts_of(b.column(1))) for ids in batch_ids(vocabulary, part))
@@ -112,7 +116,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
                     rows.append(row)
                     for c, v in zip(cut, (k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
                         c.append(v)
-            cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cut[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cut[1:4])]
+            cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cut[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cut[1:4]), pa.array(np.array(rows, np.int64) + before)]
+            before += b.num_rows
             if with_ids:
                 flat = np.frombuffer(b"".join(cut[4]), "<i4")
                 cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in cut[4]])]).astype(np.int32)), pa.array(flat)))
@@ -314,7 +319,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     buckets = 1 + sum(histogram.values()) // 100_000
     table = spark.sparkContext.broadcast(plan(histogram, capacity))  # bounded by the capacity
-    keys = ["doc_id", "piece", "start", "ids_crc32"]
+    keys = ["doc_id", "piece", "start", "ids_crc32", "row"]
     spread = cut.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     before = W.partitionBy("length").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     base = spread.groupBy("length", "__b").count().select("length", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
