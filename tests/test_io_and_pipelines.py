@@ -38,6 +38,13 @@ def test_triangles_and_entrances(spark, tmp_path):
     tri = [way(1, {"highway": "residential"}, [[0, 0], [d, 0]], (["a", "b"], {})), way(2, {"highway": "primary"}, [[d, 0], [0, d]], (["b", "c"], {})), way(3, {"highway": "residential"}, [[0, d], [0, 0]], (["c", "a"], {}))]
     got = pipelines.triangles(ways_df(spark, tmp_path, tri), 300.0).collect()
     assert sorted(r["way_id"] for r in got) == ["1", "2", "3"] and all(r["has_non_residential"] for r in got)
+    # a side in two ways is a triangle still; three curved ways of a round loop are none, nor is a square
+    cut = [tri[0], way(2, {"highway": "residential"}, [[d, 0], [d / 2, d / 2]], (["b", "m"], {})), way(4, {"highway": "residential"}, [[0, d], [d / 2, d / 2]], (["c", "m"], {})), tri[2]]
+    round_ = [way(k, {"highway": "residential"}, [[d / 2 * float(np.cos(x)) + 1, d / 2 * float(np.sin(x))] for x in np.linspace(2 * k, 2 * k + 2, 7) * np.pi / 3], ([f"r{k % 3}", *(f"r{k}.{i}" for i in range(5)), f"r{(k + 1) % 3}"], {})) for k in range(6, 9)]
+    corner = [(2, 0), (2 + d, 0), (2 + d, d), (2, d)]
+    square = [way(20 + k, {"highway": "residential"}, [list(corner[k]), list(corner[(k + 1) % 4])], ([f"s{k}", f"s{(k + 1) % 4}"], {})) for k in range(4)]
+    got = pipelines.triangles(ways_df(spark, tmp_path, cut + round_ + square), 300.0).collect()
+    assert sorted(r["way_id"] for r in got) == ["1", "2", "3", "4"] and not any(r["has_non_residential"] for r in got)
     limit = {"m": {"traffic_sign": "city_limit"}, "n": {"traffic_sign": "city_limit"}}
     roads = [
         way(1, {"highway": "primary", "maxspeed": "90"}, [[0, 0], [1e-4, 0], [2e-4, 0]], (["a", "m", "b"], limit)), way(2, {"highway": "primary", "maxspeed": "50"}, [[2e-4, 0], [4e-4, 0]], (["b", "c"], {})),

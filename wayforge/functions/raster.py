@@ -153,6 +153,32 @@ def simplify(pts: np.ndarray, eps: float) -> np.ndarray:
     return np.concatenate([simplify(pts[: k + 1], eps)[:-1], simplify(pts[k:], eps)])
 
 
+def corners(ring: np.ndarray, share: float = 0.02) -> np.ndarray:
+    """Vertices that stay when a ring (not repeated at its end) is simplified by a share of its length: both chains
+    between two vertices far apart."""
+    length = np.hypot(*(np.roll(ring, -1, 0) - ring).T).sum()
+    far = lambda p: int(np.hypot(*(ring - p).T).argmax())
+    i = far(ring[0])
+    ring = np.roll(ring, -i, 0)
+    j = far(ring[0])
+    one, two = simplify(ring[: j + 1], share * length), simplify(np.concatenate([ring[j:], ring[:1]]), share * length)
+    return np.concatenate([one[:-1], two[:-1]])
+
+
+def has_three_corners(ring: np.ndarray, extent: float = 400.0, least: float = 5.0, most: float = 175.0) -> bool:
+    """Whether a ring scaled to one extent on both axes has three corners, of `least` to `most` degrees each."""
+    size = np.ptp(ring, axis=0)
+    if len(ring) < 3 or (size <= 0).any():
+        return False
+    v = corners((ring - ring.min(0)) / size * extent)
+    if len(v) != 3:
+        return False
+    to, back = np.roll(v, -1, 0) - v, np.roll(v, 1, 0) - v
+    cosine = (to * back).sum(1) / (np.hypot(*to.T) * np.hypot(*back.T))
+    angle = np.degrees(np.arccos(np.clip(cosine, -1, 1)))
+    return bool((angle >= least).all() and (angle <= most).all() and 160 < angle.sum() < 200)
+
+
 def linearity(pts: np.ndarray) -> float:
     """1 - mean / greatest distance from the least-squares line, in [0, 1]; 0 for under 3 points, 1 on a line."""
     if len(pts) < 3:
