@@ -74,7 +74,6 @@ loops as (select path from walk where cur = start)"""
 
 W8 = ", w8 as (select node_id, sum(case when seq = 1 then 2 else 1 end) as weight from fx_way_nodes group by 1)"
 
-MAIN3 = "('primary', 'secondary', 'tertiary')"
 NET = f""", na as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_way_lines),
 nb as (select way_id as id, {mx('lon1')} as x1, {my('lat1')} as y1, {mx('lon2')} as x2, {my('lat2')} as y2 from fx_roads_b),
 nc as (select a.id as i, b.id as j, a.x1, a.y1, a.x2, a.y2, b.x1 as u1, b.y1 as v1, b.x2 as u2, b.y2 as v2,
@@ -106,7 +105,7 @@ pc as (select a.id as i, b.id as j, abs(((a.x2-a.x1)*(b.x2-b.x1)+(a.y2-a.y1)*(b.
 pp as (select i, j, max(similarity) as similarity, round(avg(d), 4) as distance, count(*) filter (where d <= 15)/5e0 as coverage from pc group by all),
 pm as (select i, j, distance, coverage from pp where similarity > 0.7 and coverage >= 0.6 and distance <= 15 qualify row_number() over (partition by i order by distance, j) = 1)"""
 
-CHAINS = f""", cw as (select way_id, {STATE.format('oneway')} as s, a, b from fx_ways where highway in {MAIN3}),
+CHAINS = f""", cw as (select way_id, {STATE.format('oneway')} as s, concat(a, '/', highway) as a, concat(b, '/', highway) as b from fx_ways),
 ends as (select way_id, s <> 'bidirectional' as oneway, case when s = 'reverse' then b else a end as node_id, true as is_start from cw
  union all select way_id, s <> 'bidirectional', case when s = 'reverse' then a else b end, false from cw),
 links as (select distinct x.way_id as a, y.way_id as b from ends x join ends y on x.node_id = y.node_id and x.way_id < y.way_id and x.oneway = y.oneway and (not x.oneway or x.is_start <> y.is_start)
@@ -173,8 +172,8 @@ select concat(way_id, '_a') as half_id, round(t*sqrt(pow(x2-x1,2)+pow(y2-y1,2)),
 union all select concat(way_id, '_b'), round((1-t)*sqrt(pow(x2-x1,2)+pow(y2-y1,2)), 3) from f where t > 0 and t < 1"""),
     "proximity_thinning": q(f""", p as (select event_id, lon, lat from fx_signs)
 select event_id from p j where not exists (select 1 from p i where i.event_id < j.event_id and abs(i.lat - j.lat) < 1e-4 and {geo('i.lon', 'i.lat', 'j.lon', 'j.lat')} <= 6)"""),
-    "detections_near_network": q(PAIRS + "select distinct event_id from sp where highway <> 'service' and d <= 5"),
-    "detections_unmatched": q(PAIRS + "select event_id from fx_signs where event_id not in (select event_id from sp where highway <> 'service' and d <= 5)"),
+    "detections_near_network": q(PAIRS + "select distinct event_id from sp where highway not in ('service', 'track', 'unclassified', 'residential') and d <= 12.8e0"),
+    "detections_unmatched": q(PAIRS + "select event_id from fx_signs where event_id not in (select event_id from sp where highway <> 'service' and d <= 30)"),
     "closed_loops": q(LOOPS + "select distinct array_to_string(list_sort(path), ',') as ways, len(path) as n from loops", True),
     "untagged_roundabouts": q(LOOPS + W8 + f""", d as (select distinct path from loops), e as (select path, unnest(path) as way_id from d),
 v as (select e.path, n.node_id, n.lon, n.lat, w.weight from e join fx_way_nodes n using (way_id) join w8 w using (node_id)),
@@ -198,9 +197,10 @@ select node_id from fx_nodes where node_id not in (select seed from ok)""", True
 stop as (select src as node from e group by 1 having count(distinct way_id) >= 3),
 fl(seed, node) as (select node_id, node_id from fx_nodes union select f.seed, e.dst from fl f join e on e.src = f.node where f.node = f.seed or f.node not in (select node from stop))
 select distinct f.seed, e.way_id from fl f join e on e.src = f.node where f.node = f.seed or f.node not in (select node from stop)""", True),
-    "connected_components": q(""", e as (select a, b from fx_ways where highway in ('primary', 'track')),
-cc(node, root) as (select a, a from e union select b, b from e union select case when e.a = c.node then e.b else e.a end, c.root from cc c join e on e.a = c.node or e.b = c.node)
-select node, min(root) as root from cc group by 1""", True),
+    "connected_components": q(""", e as (select a, b from fx_ways union all select b, a from fx_ways),
+cc(node, root) using key (node) as (select distinct a, a from e
+ union select e.b, min(c.root) from cc c join e on e.a = c.node join recurring.cc r on r.node = e.b where c.root < r.root group by 1)
+select node, root from cc""", True),
     "chain_merge": q(CHAINS + "select node as way_id, root as chain from chains", True),
     "chain_lines": q(CHAINS + "select root, count(*) as n_ways, round(sum(sqrt(pow(lon2-lon1,2)+pow(lat2-lat1,2))), 7) as degrees from chains join fx_way_lines on way_id = node group by 1", True),
     "split_segments": q("""select concat(way_id, '_', p) as segment_id, 2::bigint as n_nodes from fx_ways, range(0, 2) t(p) where way_id % 3 = 0
@@ -223,7 +223,7 @@ select node_id, string_agg(substr('0123456789bcdefghjkmnpqrstuvwxyz', cast(v as
 }
 _W = 7e-5
 SQL["overlap_filter"] = q(f""", det as (select way_id as id, lon1 as x1, lat1 as y1, lon2 as x2, lat2 as y2, {geo('lon1', 'lat1', 'lon2', 'lat2')} as m from fx_roads_b),
-kn as (select lon1 as u1, lat1 as v1, lon2 as u2, lat2 as v2, sqrt(pow(lon2-lon1,2)+pow(lat2-lat1,2)) as n from fx_way_lines where highway in ('primary', 'residential')),
+kn as (select lon1 as u1, lat1 as v1, lon2 as u2, lat2 as v2, sqrt(pow(lon2-lon1,2)+pow(lat2-lat1,2)) as n from fx_way_lines where highway not in ('service', 'track')),
 lo as (select id, n, ((x1-u1)*(u2-u1)+(y1-v1)*(v2-v1))/n as s1, ((y1-v1)*(u2-u1)-(x1-u1)*(v2-v1))/n as t1, ((x2-u1)*(u2-u1)+(y2-v1)*(v2-v1))/n as s2, ((y2-v1)*(u2-u1)-(x2-u1)*(v2-v1))/n as t2
  from det join kn on greatest(least(x1,x2)-{_W}, least(u1,u2)) <= least(greatest(x1,x2)+{_W}, greatest(u1,u2)) and greatest(least(y1,y2)-{_W}, least(v1,v2)) <= least(greatest(y1,y2)+{_W}, greatest(v1,v2))),
 cl as (select id, greatest(0e0, case when abs(s2-s1) < 1e-15 then (case when s1 between 0 and n then 0 else 2 end) else least((0-s1)/(s2-s1), (n-s1)/(s2-s1)) end, case when abs(t2-t1) < 1e-15 then (case when t1 between -{_W} and {_W} then 0 else 2 end) else least((-{_W}-t1)/(t2-t1), ({_W}-t1)/(t2-t1)) end) as a,

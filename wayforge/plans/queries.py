@@ -11,7 +11,8 @@ from wayforge.operators import graph, matching, spatial
 from wayforge.sources import fixtures as fx
 
 c = F.col
-LOOP_M, SIGN_REACH = 200.0, 30.0
+# NEAR_M: 1.15e-4 degrees, a strip of 7e-5 and 4.5e-5 around it.
+LOOP_M, SIGN_REACH, NEAR_M = 200.0, 30.0, 12.8
 
 
 def r(col, n: int = 6):
@@ -168,12 +169,13 @@ def proximity_thinning(spark, sf_dir):
 
 
 def detections_near_network(spark, sf_dir):
-    near = spatial.points_to_lines(_merc_signs(spark, sf_dir), _merc_lines(spark, sf_dir).where("highway <> 'service'"), 5.0, cell=48.0)
+    major = _merc_lines(spark, sf_dir).where(~F.concat(F.lit("highway="), c("highway")).rlike(tags.MINOR_OR_LOCAL))
+    near = spatial.points_to_lines(_merc_signs(spark, sf_dir), major, NEAR_M, cell=48.0)
     return near.select(c("l_event_id").alias("event_id")).distinct()
 
 
 def detections_unmatched(spark, sf_dir):
-    near = spatial.points_to_lines(_merc_signs(spark, sf_dir), _merc_lines(spark, sf_dir).where("highway <> 'service'"), 5.0, cell=48.0)
+    near = spatial.points_to_lines(_merc_signs(spark, sf_dir), _merc_lines(spark, sf_dir).where("highway <> 'service'"), SIGN_REACH, cell=2 * SIGN_REACH)
     return fx.signs(spark, sf_dir).select("event_id").join(near.select(c("l_event_id").alias("event_id")), "event_id", "left_anti")
 
 
@@ -243,12 +245,13 @@ def prolongation(spark, sf_dir):
 
 
 def connected_components(spark, sf_dir):
-    e = fx.ways(spark, sf_dir).where("highway in ('primary', 'track')").select("a", "b")
-    return graph.components(e).select("node", "root")
+    return graph.components(fx.ways(spark, sf_dir).select("a", "b")).select("node", "root")
 
 
 def _chain_ends(spark, sf_dir):
-    w = fx.ways(spark, sf_dir).where("highway in ('primary', 'secondary', 'tertiary')")
+    """Ends of all ways; each class is a network of its own, so a place is a node and a class."""
+    at = lambda k: F.concat_ws("/", k, "highway").alias(k)
+    w = fx.ways(spark, sf_dir).select("way_id", "oneway", at("a"), at("b"))
     one = tags.oneway_state(c("oneway"))
     oriented = w.select("way_id", (one != "bidirectional").alias("oneway"), F.when(one == "reverse", c("b")).otherwise(c("a")).alias("s"), F.when(one == "reverse", c("a")).otherwise(c("b")).alias("e"))
     ends = oriented.select("way_id", "oneway", c("s").alias("node_id"), F.lit(True).alias("is_start")).unionByName(oriented.select("way_id", "oneway", c("e").alias("node_id"), F.lit(False).alias("is_start")))
@@ -378,7 +381,7 @@ def overlap_filter(spark, sf_dir):
     """Detected roads (second network) kept: at least 15 m, and covered less than the length-dependent bound by known roads."""
     line = F.array(pt(c("lon1"), c("lat1")), pt(c("lon2"), c("lat2")))
     det = fx.roads_b(spark, sf_dir).select(c("way_id").alias("id"), line.alias("line"))
-    known = fx.way_lines(spark, sf_dir).where("highway in ('primary', 'residential')").select(line.alias("line"))
+    known = fx.way_lines(spark, sf_dir).where(~F.concat(F.lit("highway="), c("highway")).rlike(tags.MINOR)).select(line.alias("line"))
     g = spatial.covered_share(det, known, 7e-5)
     share = c("covered") / c("length")
     return g.where((c("length") >= 15) & (share < F.least(F.lit(0.85), c("length") / 40 * 0.85))).select(c("id").alias("way_id"), r(c("length"), 3).alias("length"), r(share, 4).alias("share"))
