@@ -8,12 +8,14 @@ move a document, exchange one for one, two for one or one for two with another u
 sum of squared fills, tightest receiver first, until no sequence more could be saved or no exchange helps. The sum of
 squares rises with each step, so it ends by itself; there is no limit on steps, bins or documents tried. If it
 ends above the bound that the sum of lengths sets, the same search runs from best fit by decreasing length
-too, and the packing with fewer sequences is taken. Pieces then find their place by their rank among the pieces of their length.
+too, and the packing with fewer sequences is taken. Pieces then find their place by their rank among the pieces of their length:
+a task counts the pieces of each length as it cuts them, and those of the tasks before are added, so no length, however
+frequent, has to meet in one task. Token ids are not moved to be ranked; they join their place by row.
 
 Defined cases: a null text counts as empty and gives one piece that holds the end id only; an empty
 table gives no rows; rows that repeat are separate documents; very long texts are cut into pieces
-of `capacity` tokens, the last may be shorter; other columns are not read; ties between equal lengths go by all
-columns of a piece.
+of `capacity` tokens, the last may be shorter; other columns are not read; ties between equal lengths go by the
+order of rows in the table.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from wayforge.llm.common import Scratch, session_ready
 from wayforge.llm.words import texts_of
 
 CAPACITY, END_ID = 4096, 1
+#: Bits of a row number within its task.
+PART = 33
 _TOKENIZERS: dict = {}
 _KNOWN: dict = {}
 #: Words whose ids a worker remembers at a time; a working set, not a limit on what is encoded.
@@ -94,34 +98,41 @@ def in_portions(raws, most: int = 2 << 20):
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, row and, if asked for, input_ids of each piece of each text. row is the same for
-    the pieces of one row of docs and differs between rows, so copies of a document can be told apart."""
+    """doc_id, piece, start, length, ids_crc32, row, nth and, if asked for, input_ids of each piece of each text. row is the same for
+    the pieces of one row of docs and differs between rows, so copies of a document can be told apart; its bits from PART on are the
+    number of the task. nth counts the pieces of one length in one task, from 0."""
     session_ready(docs.sparkSession)
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long", "long"] + ["array<int>"] * with_ids
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"] + ["input_ids"] * with_ids
+    fields = [body.schema["doc_id"].dataType.simpleString(), "int", "long", "long", "long", "long", "long"] + ["array<int>"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", "nth"] + ["input_ids"] * with_ids
     end, step = END_ID.to_bytes(4, "little"), 4 * capacity
 
     def run(batches):
         from pyspark import TaskContext
 
-        before = TaskContext.get().partitionId() << 33
+        before, met = TaskContext.get().partitionId() << PART, [0] * (capacity + 1)
         for b in batches:
-            rows, cut = [], [[], [], [], [], []]
-            texts = (ids for part in in_portions(texts_of(b.column(1))) for ids in batch_ids(vocabulary, part))
-            for row, ids in enumerate(texts):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append(row)
-                    for c, v in zip(cut, (k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                        c.append(v)
-            cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cut[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cut[1:4]), pa.array(np.array(rows, np.int64) + before)]
+            first = 0
+            # A batch goes out for each portion of texts, so a worker holds the ids of one portion at a time.
+            for part in in_portions(texts_of(b.column(1))):
+                rows, cut = [], [[], [], [], [], [], []]
+                for row, ids in enumerate(batch_ids(vocabulary, part), first):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        piece = ids[at : at + step]
+                        n = len(piece) // 4
+                        rows.append(row)
+                        for c, v in zip(cut, (k, at // 4, n, zlib.crc32(piece), met[n], piece), strict=True):
+                            c.append(v)
+                        met[n] += 1
+                first += len(part)
+                longs = [*(pa.array(c, pa.int64()) for c in cut[1:4]), pa.array(np.array(rows, np.int64) + before), pa.array(cut[4], pa.int64())]
+                cols = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cut[0], pa.int32()), *longs]
+                if with_ids:
+                    flat = np.frombuffer(b"".join(cut[5]), "<i4")
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(cut[2])]).astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
             before += b.num_rows
-            if with_ids:
-                flat = np.frombuffer(b"".join(cut[4]), "<i4")
-                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in cut[4]])]).astype(np.int32)), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return body.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, fields, strict=True)))
 
@@ -314,19 +325,15 @@ def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """cut: a table of pieces with length, written out. Adds sequence_id and offset."""
+    """cut: a table of pieces, written out. Adds sequence_id and offset; nth goes."""
     spark = cut.sparkSession
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    buckets = 1 + sum(histogram.values()) // 100_000
     table = spark.sparkContext.broadcast(plan(histogram, capacity))  # bounded by the capacity
-    keys = ["doc_id", "piece", "start", "ids_crc32", "row"]
-    spread = cut.withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    before = W.partitionBy("length").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    base = spread.groupBy("length", "__b").count().select("length", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    ranked = spread.join(base, ["length", "__b"]).withColumn("__rank", F.col("__base") + F.row_number().over(W.partitionBy("length", "__b").orderBy(*keys)) - 1)
-    ranked = ranked.select(*cut.columns, "__rank")
-
-    names = list(cut.columns)
+    part = F.shiftright("row", PART).alias("__part")
+    before = W.partitionBy("length").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each task
+    base = cut.groupBy("length", part).count().select("length", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    narrow = [c for c in cut.columns if c not in ("nth", "input_ids")]
+    ranked = cut.select(*narrow, "nth", part).join(base, ["length", "__part"]).select(*narrow, (F.col("__base") + F.col("nth")).alias("__rank"))
 
     def place(batches):
         rows = table.value
@@ -335,13 +342,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             length, rank = b.column("length").to_numpy(zero_copy_only=False), b.column("__rank").to_numpy(zero_copy_only=False)
             r = rows[np.searchsorted(edge, length * (1 << 40) + rank, "right") - 1]
             j = rank - r[:, 1]
-            cols = [b.column(c) for c in names] + [pa.array(r[:, 5] + j // r[:, 3]), pa.array(r[:, 4] + j % r[:, 3] * length)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "sequence_id", "offset"])
+            cols = [b.column(c) for c in narrow] + [pa.array(r[:, 5] + j // r[:, 3]), pa.array(r[:, 4] + j % r[:, 3] * length)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*narrow, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    kinds = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in narrow)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, scratch: Scratch, vocabulary: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     cut = scratch.write(pieces(docs, vocabulary, capacity, with_ids), "pieces")
-    return pack(cut, capacity)
+    placed = pack(cut, capacity)
+    return placed.join(scratch.again(cut).select("row", "piece", "input_ids"), ["row", "piece"]) if with_ids else placed
