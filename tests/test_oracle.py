@@ -35,3 +35,21 @@ def test_entry(spark):
 
     assert e.entry(spark).columns == ["way_id", "node_id", "seq", "direction", "alt_dir"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+#: (event_id, user_id) of lines that overlap by 0.6 exactly, or whose overlap is a half in its fourth digit.
+HALVES = [(15316, 606), (78943, 606), (19981, 946), (76932, 946), (148876, 2108), (186503, 2108)]
+
+
+def _at_halves(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame(HALVES, "event_id long, user_id long").selectExpr("*", "'click' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    con.execute("create view part as select 1 as p_partkey, 1 as p_size")
+    return same_rows(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
+
+
+def test_parallel_pairs_at_thresholds_and_halves(spark, tmp_path):
+    assert _at_halves(spark, tmp_path, "parallel_pairs") == 1

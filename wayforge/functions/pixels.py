@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def turned(dx: Column, dy: Column) -> Column:
+    """STRUCT<angle, cos, sin> of a line, angle in 0 to 180, by the C library, as SQL engines have it: the last
+    digits of the JVM's atan, cos and sin differ, and thresholds (0.6 of overlap) are met exactly by lines of whole pixels."""
+
+    def each(dx: pd.Series, dy: pd.Series) -> pd.DataFrame:
+        def one(x, y):
+            if math.isnan(x) or math.isnan(y):
+                return math.nan, math.nan, math.nan
+            angle = 90.0 if abs(x) < 0.001 else math.degrees(math.atan(y / x))
+            angle = angle + 180.0 if angle < 0 else angle
+            return angle, math.cos(math.radians(angle)), math.sin(math.radians(angle))
+
+        return pd.DataFrame([one(x, y) for x, y in zip(dx, dy)], columns=["angle", "cos", "sin"], dtype="float64")
+
+    return F.pandas_udf(each, "angle double, cos double, sin double")(dx, dy)
+
+
 def with_attributes(lines: DataFrame) -> DataFrame:
-    """Adds dx, dy, angle (0 to 180), length and the integer midpoint; dx, dy follow the ends as given."""
+    """Adds dx, dy, angle (0 to 180) with its cosine and sine, length and the integer midpoint; dx, dy follow the ends as given."""
     dx, dy = (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double")
-    angle = F.when(F.abs(dx) < 0.001, 90.0).otherwise(F.degrees(F.atan(dy / dx)))
-    return lines.withColumns({
-        "dx": dx, "dy": dy, "angle": F.when(angle < 0, angle + 180.0).otherwise(angle), "length": F.sqrt(dx * dx + dy * dy),
+    return lines.withColumn("turned", turned(dx, dy)).withColumns({
+        "dx": dx, "dy": dy, "angle": F.col("turned.angle"), "cos": F.col("turned.cos"), "sin": F.col("turned.sin"), "length": F.sqrt(dx * dx + dy * dy),
         "mx": F.floor((F.col("x1") + F.col("x2")) / 2), "my": F.floor((F.col("y1") + F.col("y2")) / 2),
-    })
+    }).drop("turned")
 
 
 def fold_diff(a: Column, b: Column) -> Column:
@@ -29,8 +48,8 @@ def perpendicular(l1: str, l2: str) -> Column:
 
 def overlap(l1: str, l2: str) -> Column:
     """Interval overlap along l1, as the larger of its shares of both lines."""
-    c, rad = F.col, F.radians(F.col(f"{l1}.angle"))
-    at = lambda x, y: c(x) * F.cos(rad) + c(y) * F.sin(rad)
+    c = F.col
+    at = lambda x, y: c(x) * c(f"{l1}.cos") + c(y) * c(f"{l1}.sin")
     a, b, p, q = at(f"{l1}.x1", f"{l1}.y1"), at(f"{l1}.x2", f"{l1}.y2"), at(f"{l2}.x1", f"{l2}.y1"), at(f"{l2}.x2", f"{l2}.y2")
     both = F.greatest(F.lit(0.0), F.least(F.greatest(a, b), F.greatest(p, q)) - F.greatest(F.least(a, b), F.least(p, q)))
     share = lambda u, v: F.when(F.abs(u - v) > 0, both / F.abs(u - v)).otherwise(0.0)

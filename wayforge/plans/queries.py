@@ -19,6 +19,13 @@ def r(col, n: int = 6):
     return F.round(col, n)
 
 
+def half_up(col, n: int):
+    """Rounded as SQL engines round a double: col * 10**n to the nearest whole number, halves away from zero. r goes by
+    the decimal digits, which differs where either is a half."""
+    y = F.abs(col * 10.0**n)
+    return F.signum(col) * (F.floor(y) + (y - F.floor(y) >= 0.5).cast("int")) / 10.0**n
+
+
 def pt(x, y):
     return F.struct(x.alias("x"), y.alias("y"))
 
@@ -358,22 +365,22 @@ def direction_differences(spark, sf_dir):
 
 def parallel_pairs(spark, sf_dir):
     p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir))
-    return p.select("image", "i", "j", r(c("distance"), 4).alias("distance"), r(c("overlap"), 3).alias("overlap"), r(c("angle_diff"), 3).alias("angle_diff"))
+    return p.select("image", "i", "j", half_up(c("distance"), 4).alias("distance"), half_up(c("overlap"), 3).alias("overlap"), half_up(c("angle_diff"), 3).alias("angle_diff"))
 
 
 def pair_score(spark, sf_dir):
     p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir)).where("shorter >= 20 and length_ratio > 0.6")
-    return p.select("image", "i", "j", r(c("score"), 5).alias("score"))
+    return p.select("image", "i", "j", half_up(c("score"), 5).alias("score"))
 
 
 def double_lines(spark, sf_dir):
-    p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir)).where("shorter >= 20 and length_ratio > 0.6").withColumn("score", r(c("score"), 6))
+    p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir)).where("shorter >= 20 and length_ratio > 0.6").withColumn("score", half_up(c("score"), 6))
     return matching.greedy(p, one_sided=False, group=["image"]).select("image", "i", "j", "score")
 
 
 def image_summary(spark, sf_dir):
     n = fx.pixel_lines(spark, sf_dir).groupBy("image").agg(F.count(F.lit(1)).alias("lines"))
-    p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir)).groupBy("image").agg(F.count(F.lit(1)).alias("pairs"), r(F.avg("score"), 4).alias("mean_score"))
+    p = pixels.parallel_pairs(fx.pixel_lines(spark, sf_dir)).groupBy("image").agg(F.count(F.lit(1)).alias("pairs"), half_up(F.avg("score"), 4).alias("mean_score"))
     return n.join(p, "image", "left").select("image", "lines", F.coalesce("pairs", F.lit(0)).alias("pairs"), "mean_score")
 
 
