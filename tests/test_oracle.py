@@ -53,3 +53,7 @@ def _at_halves(spark, tmp_path, name):
 
 def test_parallel_pairs_at_thresholds_and_halves(spark, tmp_path):
     assert _at_halves(spark, tmp_path, "parallel_pairs") == 1
+
+
+def test_image_summary_at_thresholds(spark, tmp_path):
+    assert _at_halves(spark, tmp_path, "image_summary") == 3
