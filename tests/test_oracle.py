@@ -57,3 +57,7 @@ def test_parallel_pairs_at_thresholds_and_halves(spark, tmp_path):
 
 def test_image_summary_at_thresholds(spark, tmp_path):
     assert _at_halves(spark, tmp_path, "image_summary") == 3
+
+
+def test_double_lines_at_thresholds(spark, tmp_path):
+    assert _at_halves(spark, tmp_path, "double_lines") == 1
