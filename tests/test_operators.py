@@ -154,3 +154,40 @@ def test_repeated_keys_of_map_text(spark):
     text = spark.createDataFrame([("{a=1, b=2, a=3, oneway=yes, oneway=no}",), ("{}",), (None,)], "t string")
     got = [r["m"] for r in text.select(tags.parse_map_text(F.col("t")).alias("m")).collect()]
     assert got[0] == {"a": "3", "b": "2", "oneway": "no"} and got[1] == {"oneway": "no"}
+
+
+def test_thinning_equals_all_pairs_and_lists_none(spark):
+    """Dense points, repeated ids and places, around the equator, the north, the pole, and points without a place."""
+    rng = random.Random(7)
+    rows = [(rng.randrange(250), lon + rng.random() * w, lat + rng.random() * 4e-4) for lon, lat, w in ((-1.25, -2e-4, 4e-4), (30.0, 69.9998, 1e-3), (0.0, 89.9996, 360.0)) for _ in range(60)]
+    rows += [(300 + k, *rows[k][1:]) for k in range(60)] + [(1000 + k, 10.0 + k * 1e-9, 10.0) for k in range(3000)]
+    rows += [(400, None, 1.0), (401, float("nan"), 1.0), (None, -1.25, 0.0)]
+    near = lambda p, q: _metres(*p, *q) <= 6.0
+    here = [r for r in rows if r[0] is not None and r[0] < 1000 and r[1] is not None and r[1] == r[1]]
+    gone = {b[0] for a in here for b in here if a[0] < b[0] and near(a[1:], b[1:])} | set(range(1001, 4000))
+    want = sorted(str(r) for r in rows if r[0] not in gone)
+    pts = spark.createDataFrame(rows, "id long, lon double, lat double")
+    assert sorted(str(tuple(r)) for r in spatial.thin(pts, 6.0).collect()) == want and 10 < len(want) < 200
+    plan = spatial.thin(pts, 6.0)
+    plan.collect()
+    # The join's rows: 4.5 million pairs if they were listed.
+    nodes, most = [plan._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        n = nodes.pop()
+        if n.nodeName() == "AdaptiveSparkPlan":
+            n = n.executedPlan()
+        if hasattr(n, "plan") and "QueryStage" in n.getClass().getSimpleName():
+            nodes.append(n.plan())
+        m = n.metrics().get("numOutputRows")
+        most = max(most, m.get().value() if m.isDefined() else 0)
+        nodes += [n.children().apply(i) for i in range(n.children().size())]
+    assert 0 < most < 100_000
+
+
+def _metres(lon1, lat1, lon2, lat2):
+    import math
+
+    mid = math.radians((lat1 + lat2) / 2)
+    w = math.sqrt(1 - geo.E2 * math.sin(mid) ** 2)
+    north, east = math.radians(lat2 - lat1) * (geo.R * (1 - geo.E2)) / w**3, math.radians(lon2 - lon1) * geo.R / w * math.cos(mid)
+    return math.hypot(north, east)

@@ -68,8 +68,31 @@ def points_near_points(points: DataFrame, reach: float, lon: str = "lon", lat: s
 
 
 def thin(points: DataFrame, reach: float) -> DataFrame:
-    """Points without the j of any pair i < j within reach, whether or not i itself stays."""
-    drop = points_near_points(points, reach).select(F.col("j").alias("id")).distinct()
+    """Points without the j of any pair i < j within reach, whether or not i itself stays; points without an id or a place stay.
+
+    Pairs are not listed. Of rows of one place only those of the smallest id can stay. Any two places of a grid cell lie
+    within reach, so the same holds for a cell, and only its smallest id is tested against the cells around: a place
+    meets one id for each cell in reach (about 20), however many share its cell.
+    """
+    # A degree is 110,500 to 111,700 m along a meridian, and on the equator at least 111,300 m.
+    side, lon, lat = reach * 0.7 / 111_700.0, F.col("lon"), F.col("lat")
+    cos = lambda deg: F.cos(F.radians(deg))
+    width = lambda row: F.lit(side) / F.greatest(F.abs(cos(row * side)), F.abs(cos((row + 1) * side)), F.lit(1e-12))
+    finite = " and ".join(f"abs({k}) < 1e6" for k in ("lon", "lat"))
+    rows = points.select("id", lon.cast("double").alias("lon"), lat.cast("double").alias("lat")).where(f"id is not null and {finite}").distinct()
+    place = rows.groupBy("lon", "lat").agg(F.min("id").alias("id")).withColumn("cy", F.floor(lat / side))
+    place = place.withColumn("cx", F.floor(lon / width(F.col("cy"))))
+    low = place.groupBy("cx", "cy").agg(F.min("id").alias("id")).join(place, ["cx", "cy", "id"]).select("id", "lon", "lat")
+    half = reach / 221_000.0  # the mean of both latitudes is that near
+    near, far = cos(lat - half), cos(lat + half)
+    east = F.when(near * far > 0, F.least(F.lit(reach / 111_300.0) / F.least(F.abs(near), F.abs(far)), F.lit(720.0))).otherwise(720.0)
+    around = low.withColumns({"east": east, "cy": F.explode(F.sequence(F.floor(lat / side) - 2, F.floor(lat / side) + 2))})
+    cx = F.sequence(F.floor((lon - F.col("east")) / width(F.col("cy"))), F.floor((lon + F.col("east")) / width(F.col("cy"))))
+    around = around.select("id", "lon", "lat", "cy", F.explode(cx).alias("cx"))
+    other = place.select("cx", "cy", F.col("id").alias("i"), lon.alias("ilon"), lat.alias("ilat"))
+    within = geo.geodesic(F.col("ilon"), F.col("ilat"), lon, lat) <= reach
+    gone = around.join(other, ["cx", "cy"]).where((F.col("i") < F.col("id")) & within).select("id", "lon", "lat")
+    drop = rows.join(low.join(gone, ["id", "lon", "lat"], "left_anti"), ["id", "lon", "lat"], "left_anti").select("id").distinct()
     return points.join(drop, "id", "left_anti")
 
 
