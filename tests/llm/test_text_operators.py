@@ -233,6 +233,25 @@ def test_large_buckets_and_hot_lines(spark, scratch, monkeypatch):
     assert n >= 60 and len([k for k in want if got[k] != want[k]]) <= 0.02 * n
 
 
+def test_pairs_that_share_one_large_bucket_only(spark, scratch, monkeypatch):
+    """With one bucket of all lines, and that large, every pair of it is tested still."""
+    def one(signed, scratch):
+        rows = signed.select("line_id").agg(F.min("line_id").alias("low"), F.count(F.lit(1)).alias("n"))
+        return scratch.write(signed.select("line_id", F.lit(7).cast("long").alias("band")).crossJoin(rows), "near")
+
+    monkeypatch.setattr(line_dedup, "buckets", one)
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        line = "".join(rng.choice("abcdefgh") for _ in range(70))
+        texts += [line, line[:-2] + "zz"]
+    want, n = brute_lines(texts)
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.dedup_lines(docs_of(spark, texts), scratch).collect()}
+    assert n == 12 and got == want
+
+
 def test_long_lines_without_words(spark, scratch):
     """Tables of short words, text without white space, and rules of several lengths have candidates too."""
     rng = random.Random(12)
