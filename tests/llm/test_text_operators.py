@@ -252,6 +252,24 @@ def test_pairs_that_share_one_large_bucket_only(spark, scratch, monkeypatch):
     assert n == 12 and got == want
 
 
+def test_sketches_never_exceed_the_difference(spark):
+    """Copies changed each in its own way: sketches differ in no more bits than the sets do, and tell most that are apart."""
+    rng = random.Random(9)
+    first = [rng.choice("abcdefghijklmnop") for _ in range(300)]
+    lines = ["".join(rng.choice("qrstuvwxyz") if rng.random() < 0.02 * (i % 3) else c for c in first) for i in range(24)]
+    rows = line_dedup.sketches(spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")).collect()
+    of, sets = {r["line_id"]: r for r in rows}, [{ln[i : i + 5] for i in range(len(ln) - 4)} for ln in lines]
+    assert [of[i]["size"] for i in range(24)] == [len(s) for s in sets]
+    far = told = 0
+    for a in range(24):
+        for b in range(a):
+            bits = sum(((of[a][o] ^ of[b][o]) & (2**64 - 1)).bit_count() for o in line_dedup.ODDS)
+            assert bits <= len(sets[a] ^ sets[b])
+            if len(sets[a] & sets[b]) < 0.6 * len(sets[a] | sets[b]):
+                far, told = far + 1, told + (9 * bits > len(sets[a]) + len(sets[b]))
+    assert far > 50 and told > 0.9 * far
+
+
 def test_long_lines_without_words(spark, scratch):
     """Tables of short words, text without white space, and rules of several lengths have candidates too."""
     rng = random.Random(12)
