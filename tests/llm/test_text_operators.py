@@ -270,6 +270,27 @@ def test_sketches_never_exceed_the_difference(spark):
     assert far > 50 and told > 0.9 * far
 
 
+def test_signatures_hash_each_shingle_without_sorting_texts(spark):
+    """The hashes of wide lines tell shingles apart as the shingles themselves do (no half of a character beyond
+    the first 65,536 is one), at every length around a chunk; copies of a line are signed as one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abß日😀 ") for _ in range(n)) for n in (1, 4, 5, 6, 19, 20, 21, 35, 36, 37, 300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    chunks = {}
+    for r in line_dedup.chunked_hashes(df).collect():
+        chunks.setdefault(r[0], set()).update(r[1:])
+    of = {}
+    for r in df.select("line_id", line_dedup.all_shingles(F.col("line")).alias("s"), line_dedup.shingle_hashes(F.col("line")).alias("h")).collect():
+        ln = lines[r["line_id"]]
+        assert r["s"] == [ln[i : i + 5] for i in range(max(1, len(ln) - 4))] and set(r["h"]) == chunks[r["line_id"]]
+        assert all(of.setdefault(s, h) == h for s, h in zip(r["s"], r["h"], strict=True))
+    assert len(set(of.values())) == len(of) > 300
+    signed = line_dedup.signatures(df.union(df))
+    assert signed.count() == len(lines) and "SortAggregate" not in signed._jdf.queryExecution().toString()
+
+
 def test_long_lines_without_words(spark, scratch):
     """Tables of short words, text without white space, and rules of several lengths have candidates too."""
     rng = random.Random(12)
